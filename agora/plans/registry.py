@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = [
+    "agora.plans.text_plans",
     "agora.plans.graph_plans",
 ]
 
