@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = [
+    "agora.plans.token_plans",
+    "agora.plans.structure_plans",
     "agora.plans.text_plans",
     "agora.plans.graph_plans",
 ]

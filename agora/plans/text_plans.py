@@ -22,7 +22,7 @@ LANG_TAXONOMY = {
 
 
 def _docs(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return S.text_table(spark, sf, "documents", "doc_id", "text", "lang")
 
 
 def q_clean_text(spark, sf) -> DataFrame:
@@ -30,7 +30,7 @@ def q_clean_text(spark, sf) -> DataFrame:
 
 
 def q_clean_html(spark, sf) -> DataFrame:
-    return S.table(spark, sf, "pages").select("page_id", T.clean_text("html").alias("clean"))
+    return S.text_table(spark, sf, "pages", "page_id", "html").select("page_id", T.clean_text("html").alias("clean"))
 
 
 def q_clean_tuning(spark, sf) -> DataFrame:

@@ -28,6 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    task slots, before CPU-heavy per-row work (regexes over whole texts).
+    Large inputs already split into many partitions and pass unchanged."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Scan of a text table, pruned to ``cols`` and spread for CPU work."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*cols) if cols else df)
+
+
 def _cycle(key: Column, values: list) -> Column:
     """CASE over ``key % len(values)``; literal, so it stays in codegen."""
     k = key % F.lit(len(values))
