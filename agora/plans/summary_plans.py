@@ -344,7 +344,7 @@ def _oracle():
         "box_domain": _q(f"SELECT domain, {_cols('q1', 'median', 'q3', 'whisker_lo', 'whisker_hi')}, n FROM box",
                          _BOX.format(g="domain", v="kl_divergence", src="dash")),
         "kl_quantiles": _q(" UNION ALL ".join(
-            f"SELECT {R(str(p))} AS prob, {R(f'quantile_cont(kl_divergence, {p})')} AS q FROM dash"
+            f"SELECT {R(f'CAST({p} AS DOUBLE)')} AS prob, {R(f'quantile_cont(kl_divergence, {p})')} AS q FROM dash"
             for p in [0.25, 0.5, 0.75, 0.9])),
         "kl_describe": _q(f"""SELECT CAST(count(kl_divergence) AS BIGINT) AS count, {R('avg(kl_divergence)')} AS mean,
             {R('stddev_samp(kl_divergence)')} AS std, {R('min(kl_divergence)')} AS min, {R('max(kl_divergence)')} AS max FROM dash"""),
