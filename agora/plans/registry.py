@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = [
+    "agora.plans.quality_plans",
     "agora.plans.summary_plans",
     "agora.plans.token_plans",
     "agora.plans.structure_plans",
