@@ -186,9 +186,6 @@ def pagerank(
     spark = nodes.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     node_ids = nodes.select("node").distinct()
-    n = node_ids.count()
-    if n == 0:
-        return node_ids.withColumn("pagerank", F.lit(None).cast("double"))
 
     out_w = edges.groupBy("src").agg(F.sum("weight").alias("out_w"))
     trans = (
@@ -201,40 +198,46 @@ def pagerank(
 
     state = (
         node_ids.join(out_w.withColumnRenamed("src", "node"), "node", "left")
-        .select(
-            "node",
-            (F.col("out_w").isNull() | (F.col("out_w") == 0)).alias("dangling"),
-            F.lit(1.0 / n).alias("x"),
-        )
+        .select("node", (F.col("out_w").isNull() | (F.col("out_w") == 0)).alias("dangling"))
         .repartition(n_part, "node")
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    state = cut_lineage(state)
-    dangling_mass = state.agg(F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0))).first()[0] or 0.0
-
+    n, n_dangling = state.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
+    if n == 0:
+        return node_ids.withColumn("pagerank", F.lit(None).cast("double"))
+    state = state.withColumn("x", F.lit(1.0 / n))
+    dangling_mass = n_dangling / n
+
+    # one reference to the state per round: the self rows of ``trans2``
+    # carry each node's previous value and dangling flag through the same
+    # join + aggregate that sums the contributions
+    trans2 = cut_lineage(
+        trans.select("src", "dst", "p", F.lit(False).alias("self"))
+        .unionByName(state.select(F.col("node").alias("src"), F.col("node").alias("dst"),
+                                  F.lit(0.0).alias("p"), F.lit(True).alias("self")))
+        .repartition(n_part, "src"))
     converged = False
     previous = None
     for it in range(1, max_iter + 1):
-        contrib = (
-            trans.join(state.select(F.col("node").alias("src"), "x"), "src")
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.sum(F.col("x") * F.col("p")).alias("s"))
-        )
         base = alpha * dangling_mass / n + (1.0 - alpha) / n
-        nxt = state.join(contrib, "node", "left").select(
-            "node",
-            "dangling",
-            (F.lit(alpha) * F.coalesce(F.col("s"), F.lit(0.0)) + F.lit(base)).alias("x"),
-            F.col("x").alias("x_prev"),
+        nxt = (
+            trans2.join(state.select(F.col("node").alias("src"), "x", "dangling"), "src")
+            .groupBy(F.col("dst").alias("node"))
+            .agg(
+                F.sum(F.col("x") * F.col("p")).alias("s"),
+                F.max(F.when(F.col("self"), F.col("x"))).alias("x_prev"),
+                F.max(F.when(F.col("self"), F.col("dangling"))).alias("dangling"),
+            )
+            .select("node", "dangling", (F.lit(alpha) * F.col("s") + F.lit(base)).alias("x"), "x_prev")
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
-        if it % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
         err, dangling_mass = nxt.agg(
             F.sum(F.abs(F.col("x") - F.col("x_prev"))),
             F.sum(F.when(F.col("dangling"), F.col("x")).otherwise(0.0)),
         ).first()
         dangling_mass = dangling_mass or 0.0
+        if it % checkpoint_every == 0:
+            nxt = cut_lineage(nxt)
         if previous is not None:
             previous.unpersist()
         previous = nxt
@@ -263,21 +266,25 @@ def weakly_connected_components(nodes: DataFrame, edges: DataFrame, max_iter: in
         .where(F.col("a") != F.col("b"))
         .distinct()
     )
-    und = cut_lineage(und)
-    labels = cut_lineage(nodes.select("node").distinct().withColumn("label", F.col("node")))
+    nodes1 = nodes.select("node").distinct()
+    und2 = cut_lineage(und.select("a", "b", F.lit(False).alias("self")).unionByName(
+        nodes1.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("self"))))
+    labels = nodes1.withColumn("label", F.col("node"))
+    previous = None
     for it in range(1, max_iter + 1):
-        cand = (
-            und.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+        # one reference to the labels per round (self rows carry the old label)
+        nxt = (
+            und2.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
             .groupBy(F.col("b").alias("node"))
-            .agg(F.min("la").alias("cand"))
-        )
-        nxt = labels.join(cand, "node", "left").select(
-            "node",
-            F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("label"),
-            (F.col("cand") < F.col("label")).alias("changed"),
+            .agg(F.min("la").alias("label"), F.max(F.when(F.col("self"), F.col("la"))).alias("old"))
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
-        nxt = cut_lineage(nxt) if it % checkpoint_every == 0 else nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        changed = nxt.where(F.col("changed")).limit(1).count()
+        changed = nxt.where(F.col("label") < F.col("old")).limit(1).count()
+        if it % checkpoint_every == 0:
+            nxt = cut_lineage(nxt)
+        if previous is not None:
+            previous.unpersist()
+        previous = nxt
         labels = nxt.select("node", "label")
         if changed == 0:
             break

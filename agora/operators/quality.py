@@ -124,7 +124,9 @@ def deliq_score(weights=K.DELIQ_INITIAL_WEIGHTS, cols=("score", "kl_divergence",
 
 # ------------------------------------------------------------ Q11 - Q13
 def final_score(w, pagerank="pagerank", kl="kl", llm="llm") -> Column:
-    return F.lit(w[0]) * F.col(pagerank) + F.lit(w[1]) * F.col(kl) + F.lit(w[2]) * F.col(llm)
+    """Q11: w . (pagerank, kl, llm); arguments are names or columns."""
+    c = [F.col(x) if isinstance(x, str) else x for x in (pagerank, kl, llm)]
+    return F.lit(w[0]) * c[0] + F.lit(w[1]) * c[1] + F.lit(w[2]) * c[2]
 
 
 def squared_error(df: DataFrame, w, target="target") -> DataFrame:

@@ -51,4 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` to the reliable checkpoint folder (survives executor
     loss, unlike a local checkpoint) and return the truncated-lineage frame."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from pyspark import StorageLevel
+
+    # persisted first: writing a reliable checkpoint re-runs an uncached plan
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
