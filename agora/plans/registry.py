@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = [
+    "agora.plans.model_plans",
     "agora.plans.cluster_plans",
     "agora.plans.quality_plans",
     "agora.plans.summary_plans",
