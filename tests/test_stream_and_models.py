@@ -47,4 +47,4 @@ def test_json_roundtrip(spark):
     assert d.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
     c = q_json_comments(spark, SF)
     assert c.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    assert c.where(F.col("content") != "see URL  now").count() == 0
+    assert c.where(F.col("content") != "see  URL  now").count() == 0
