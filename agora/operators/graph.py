@@ -187,35 +187,35 @@ def pagerank(
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     node_ids = nodes.select("node").distinct()
 
+    # edges with their source's out-weight, computed once and kept
     out_w = edges.groupBy("src").agg(F.sum("weight").alias("out_w"))
-    trans = (
-        edges.join(out_w, "src")
-        .where(F.col("out_w") != 0)
-        .select("src", "dst", (F.col("weight") / F.col("out_w")).alias("p"))
-        .repartition(n_part, "src")
-    )
-    trans = cut_lineage(trans)
-
+    ew = edges.join(out_w, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    src_w = ew.groupBy(F.col("src").alias("node")).agg(F.first("out_w").alias("out_w"))
     state = (
-        node_ids.join(out_w.withColumnRenamed("src", "node"), "node", "left")
+        node_ids.join(src_w, "node", "left")
         .select("node", (F.col("out_w").isNull() | (F.col("out_w") == 0)).alias("dangling"))
         .repartition(n_part, "node")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     n, n_dangling = state.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
     if n == 0:
+        ew.unpersist()
         return node_ids.withColumn("pagerank", F.lit(None).cast("double"))
     state = state.withColumn("x", F.lit(1.0 / n))
     dangling_mass = n_dangling / n
 
-    # one reference to the state per round: the self rows of ``trans2``
+    # Row-normalized transitions plus one self row per node.  The self rows
     # carry each node's previous value and dangling flag through the same
-    # join + aggregate that sums the contributions
+    # join + aggregate that sums the contributions, so every round
+    # references the state once.  Written once to the reliable checkpoint
+    # folder, hash-partitioned by source like the rank vector.
     trans2 = cut_lineage(
-        trans.select("src", "dst", "p", F.lit(False).alias("self"))
+        ew.where(F.col("out_w") != 0)
+        .select("src", "dst", (F.col("weight") / F.col("out_w")).alias("p"), F.lit(False).alias("self"))
         .unionByName(state.select(F.col("node").alias("src"), F.col("node").alias("dst"),
                                   F.lit(0.0).alias("p"), F.lit(True).alias("self")))
         .repartition(n_part, "src"))
+    ew.unpersist()
     converged = False
     previous = None
     for it in range(1, max_iter + 1):
