@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import constants as K
 from agora.operators import cluster as C
+from agora.operators import neighbors as N
 from agora.plans.common import R, r6, with_ctes
 from agora.plans.graph_plans import _CC
 from agora.sources import tables as S
@@ -52,8 +53,26 @@ def q_improvement(spark, sf):
     return ev.select("event_type", r6(C.improvement_pct("initial", "final")).alias("improvement_pct"))
 
 
+def q_nn_distance(spark, sf):
+    """Distance from each of m quasi-uniform points to its nearest data point."""
+    p = _std(spark, sf).select("pid", *COLS)
+    b = p.agg(*[F.min(c) for c in COLS], *[F.max(c) for c in COLS]).first()
+    bounds = [(b[i], b[i + 3]) for i in range(3)]
+    n = p.count()
+    m = int(K.HOPKINS_SAMPLE_RATIO * n)
+    q = N.weyl_points(spark, m, bounds).toDF("qid", *COLS)
+    return N.nearest_distance(q, p, COLS, 0.25).select("qid", r6("dist").alias("dist"))
+
+
+def q_hopkins_fixed(spark, sf):
+    h = N.hopkins(_std(spark, sf).select("pid", *COLS), COLS, K.HOPKINS_SAMPLE_RATIO)
+    return spark.createDataFrame([(round(h, 6),)], "hopkins double")
+
+
 QUERIES = {
     "standardize": q_standardize,
+    "nn_distance": q_nn_distance,
+    "hopkins_fixed": q_hopkins_fixed,
     "dbscan": q_dbscan,
     "cluster_sizes": q_cluster_sizes,
     "noise_stats": q_noise_stats,
@@ -81,7 +100,28 @@ border AS (SELECT p.a AS pid, min(c.cluster) AS cluster FROM pairs p JOIN core_l
 db AS (SELECT p.pid, CAST(coalesce(c.cluster, b.cluster, -1) AS BIGINT) AS cluster
        FROM pts p LEFT JOIN core_lab c ON c.pid = p.pid LEFT JOIN border b ON b.pid = p.pid)"""
 
+def _weyl_sql(m_expr: str) -> str:
+    w = N.WEYL
+    return f"""bnd AS (SELECT min(x0) AS l0, max(x0) AS h0, min(x1) AS l1, max(x1) AS h1, min(x2) AS l2, max(x2) AS h2,
+                  count(*) AS n FROM pts),
+uq AS (SELECT g.i AS qid,
+              l0 + (((g.i + 1) * {w[0]!r}) - floor((g.i + 1) * {w[0]!r})) * (h0 - l0) AS x0,
+              l1 + (((g.i + 1) * {w[1]!r}) - floor((g.i + 1) * {w[1]!r})) * (h1 - l1) AS x1,
+              l2 + (((g.i + 1) * {w[2]!r}) - floor((g.i + 1) * {w[2]!r})) * (h2 - l2) AS x2
+       FROM bnd, generate_series(0, {m_expr} - 1) AS g(i)),
+ud AS (SELECT q.qid, sqrt(min((q.x0 - p.x0) ^ 2 + (q.x1 - p.x1) ^ 2 + (q.x2 - p.x2) ^ 2)) AS dist
+       FROM uq q, pts p GROUP BY q.qid)"""
+
+
+_M = f"CAST(floor({K.HOPKINS_SAMPLE_RATIO} * (SELECT count(*) FROM pts)) AS BIGINT)"
+_HOP = f"""ws AS (SELECT pid FROM pts ORDER BY ((pid + 1) * {N.WEYL[3]!r}) - floor((pid + 1) * {N.WEYL[3]!r}), pid LIMIT {_M}),
+wd AS (SELECT s.pid, sqrt(min((a.x0 - p.x0) ^ 2 + (a.x1 - p.x1) ^ 2 + (a.x2 - p.x2) ^ 2)) AS dist
+       FROM ws s JOIN pts a ON a.pid = s.pid JOIN pts p ON p.pid <> s.pid GROUP BY s.pid)"""
+
 ORACLE = {
+    "nn_distance": with_ctes(_PTS, _weyl_sql(_M), body=f"SELECT qid, {R('dist')} AS dist FROM ud"),
+    "hopkins_fixed": with_ctes(_PTS, _weyl_sql(_M), _HOP,
+                               body=f"SELECT {R('(SELECT sum(dist) FROM ud) / ((SELECT sum(dist) FROM ud) + (SELECT sum(dist) FROM wd))')} AS hopkins"),
     "standardize": with_ctes(_PTS, body=f"SELECT pid, {R('x0')} AS x0, {R('x1')} AS x1, {R('x2')} AS x2 FROM pts"),
     "dbscan": with_ctes(_PTS, _DB, recursive=True, body="SELECT pid, cluster FROM db"),
     "cluster_sizes": with_ctes(_PTS, _DB, recursive=True,
