@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import constants as K
@@ -33,42 +33,61 @@ def _cell(cols: list[str], side: float):
     return F.array(*[F.floor(F.col(c) / F.lit(side)).cast("long") for c in cols])
 
 
-def eps_pairs(points: DataFrame, cols: list[str], eps: float) -> DataFrame:
-    """All ordered pairs (a, b) with distance <= eps, self pairs included."""
+def eps_pairs(points: DataFrame, cols: list[str], eps: float, group: str | None = None) -> DataFrame:
+    """All ordered pairs (a, b) with distance <= eps, self pairs included
+    (within the same ``group`` when given)."""
     d = len(cols)
+    g = [group] if group else []
     offsets = [list(o) for o in itertools.product([-1, 0, 1], repeat=d)]
-    p = points.select("pid", *cols, _cell(cols, eps).alias("cell")).persist(StorageLevel.MEMORY_AND_DISK)
+    p = points.select(*g, "pid", *cols, _cell(cols, eps).alias("cell")).persist(StorageLevel.MEMORY_AND_DISK)
     probe = p.select(
-        F.col("pid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols],
+        *g, F.col("pid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols],
         F.explode(F.array(*[F.array(*[F.col("cell")[i] + F.lit(o[i]) for i in range(d)]) for o in offsets])).alias("cell"))
-    build = p.select(F.col("pid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols], "cell")
+    build = p.select(*g, F.col("pid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols], "cell")
     dist2 = None
     for c in cols:
         t = F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2)
         dist2 = t if dist2 is None else dist2 + t
-    return probe.join(build, "cell").where(dist2 <= F.lit(eps * eps)).select("a", "b")
+    return probe.join(build, g + ["cell"]).where(dist2 <= F.lit(eps * eps)).select(*g, "a", "b")
 
 
 def dbscan(points: DataFrame, cols: list[str], eps: float = K.DBSCAN_EPS,
-           min_samples: int = K.DBSCAN_MIN_SAMPLES) -> DataFrame:
-    """Labels (pid, cluster) with noise = -1.  Clusters are numbered by
-    their smallest core pid and a border point joins the smallest adjacent
-    cluster: the numbering of a sequential scan in pid order."""
-    pairs = eps_pairs(points, cols, eps).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = pairs.groupBy(F.col("a").alias("pid")).agg(F.count(F.lit(1)).alias("n_nb"))
-    core = counts.where(F.col("n_nb") >= min_samples).select(F.col("pid").alias("node"))
-    core_edges = (pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi")
-                  .join(core.withColumnRenamed("node", "b"), "b", "left_semi")
-                  .select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    comp = weakly_connected_components(core, core_edges)
-    order = global_row_number(comp.select("label").distinct(), [F.col("label")], "cid")
-    core_lab = comp.join(order, "label").select(F.col("node").alias("pid"), (F.col("cid") - 1).alias("cluster"))
-    border = (pairs.join(core_lab.withColumnRenamed("pid", "b"), "b")
-              .join(core_lab.select(F.col("pid").alias("a")), "a", "left_anti")
-              .groupBy(F.col("a").alias("pid")).agg(F.min("cluster").alias("cluster")))
+           min_samples: int = K.DBSCAN_MIN_SAMPLES, group: str | None = None) -> DataFrame:
+    """Labels (group?, pid, cluster) with noise = -1.  Clusters are
+    numbered by their smallest core pid and a border point joins the
+    smallest adjacent cluster: the numbering of a sequential scan in pid
+    order.  With ``group`` (e.g. a weight candidate), every group is
+    clustered independently in the same jobs."""
+    g = [group] if group else []
+    pairs = eps_pairs(points, cols, eps, group).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = pairs.groupBy(*g, F.col("a").alias("pid")).agg(F.count(F.lit(1)).alias("n_nb"))
+    core = counts.where(F.col("n_nb") >= min_samples).select(*g, "pid")
+    node = F.struct(*[F.col(x) for x in g], F.col("pid")) if g else F.col("pid")
+    core_nodes = core.select(node.alias("node"))
+    ca = core.select(*g, F.col("pid").alias("a"))
+    cb = core.select(*g, F.col("pid").alias("b"))
+    core_edges = pairs.join(ca, g + ["a"], "left_semi").join(cb, g + ["b"], "left_semi")
+    src = F.struct(*[F.col(x) for x in g], F.col("a").alias("pid")) if g else F.col("a")
+    dst = F.struct(*[F.col(x) for x in g], F.col("b").alias("pid")) if g else F.col("b")
+    comp = weakly_connected_components(core_nodes, core_edges.select(src.alias("src"), dst.alias("dst")))
+    if g:
+        comp = comp.select(*[F.col("node")[x].alias(x) for x in g], F.col("node.pid").alias("pid"),
+                           F.col("label.pid").alias("label"))
+    else:
+        comp = comp.select(F.col("node").alias("pid"), "label")
+    labels_tab = comp.select(*g, "label").distinct()
+    if g:
+        w = Window.partitionBy(*g).orderBy("label")
+        order = labels_tab.withColumn("cid", F.row_number().over(w))
+    else:
+        order = global_row_number(labels_tab, [F.col("label")], "cid")
+    core_lab = comp.join(order, g + ["label"]).select(*g, "pid", (F.col("cid") - 1).alias("cluster"))
+    border = (pairs.join(core_lab.withColumnRenamed("pid", "b"), g + ["b"])
+              .join(core_lab.select(*g, F.col("pid").alias("a")), g + ["a"], "left_anti")
+              .groupBy(*g, F.col("a").alias("pid")).agg(F.min("cluster").alias("cluster")))
     labelled = core_lab.unionByName(border)
-    return points.select("pid").join(labelled, "pid", "left").select(
-        "pid", F.coalesce(F.col("cluster"), F.lit(-1)).cast("long").alias("cluster"))
+    return points.select(*g, "pid").join(labelled, g + ["pid"], "left").select(
+        *g, "pid", F.coalesce(F.col("cluster"), F.lit(-1)).cast("long").alias("cluster"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -107,29 +126,33 @@ def calinski_harabasz(df: DataFrame, cols: list[str], label: str = "cluster") ->
     return (between / (k - 1)) / (within / (n - k))
 
 
-def silhouette_squared(df: DataFrame, cols: list[str], label: str = "cluster") -> DataFrame:
-    """Mean silhouette with squared Euclidean distance, exact in O(n * k):
+def silhouette_squared(df: DataFrame, cols: list[str], label: str = "cluster", group: str | None = None) -> DataFrame:
+    """Per-point silhouette with squared Euclidean distance, exact in O(n*k):
     the mean squared distance from x to cluster C is
     |x|^2 - 2 x.mean_C + mean_C(|y|^2), so per-cluster sums replace pairs.
     (Plain Euclidean silhouette has no such decomposition and needs every
-    pair; this is the scalable form, the one Spark ML's evaluator uses.)"""
-    d = df.where(F.col(label) != -1).select(label, *cols)
+    pair; this is the scalable form, the one Spark ML's evaluator uses.)
+    The per-cluster table (one row per group and cluster) is attached to each
+    point as an array by a join on the group key."""
+    g = [group] if group else []
+    d = df.where(F.col(label) != -1).select(*g, label, *cols)
     sq = sum(F.col(c) * F.col(c) for c in cols)
-    stats = d.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.avg(sq).alias("_msq"),
-                                 *[F.avg(c).alias(f"_m_{c}") for c in cols])
-    st = stats.select(F.collect_list(F.struct(F.col(label).alias("c"), "_n", "_msq",
-                                              *[f"_m_{c}" for c in cols])).alias("cl"))
-    # one row per cluster; the cluster table is small (k rows) and is
-    # attached to every point as an array through a scalar subquery
-    cl = st.scalar()
+    stats = d.groupBy(*g, label).agg(F.count(F.lit(1)).alias("_n"), F.avg(sq).alias("_msq"),
+                                     *[F.avg(c).alias(f"_m_{c}") for c in cols])
+    cl = stats.groupBy(*g).agg(F.collect_list(F.struct(F.col(label).alias("c"), "_n", "_msq",
+                                                       *[f"_m_{c}" for c in cols])).alias("_cl"))
     x2 = sum(F.col(c) * F.col(c) for c in cols)
 
     def msd(s):
         dot = sum(F.col(c) * s[f"_m_{c}"] for c in cols)
         return x2 - 2 * dot + s["_msq"]
 
-    per = d.withColumn("_cl", cl).select(
-        label,
+    if g:
+        j = d.join(F.broadcast(cl), g, "inner")
+    else:
+        j = d.withColumn("_cl", cl.select("_cl").scalar())
+    per = j.select(
+        *g, label,
         F.filter("_cl", lambda s: s["c"] == F.col(label))[0].alias("_own"),
         F.transform(F.filter("_cl", lambda s: s["c"] != F.col(label)), msd).alias("_other"),
         *cols,
@@ -138,7 +161,7 @@ def silhouette_squared(df: DataFrame, cols: list[str], label: str = "cluster") -
     a = F.when(own["_n"] > 1, msd(own) * own["_n"] / (own["_n"] - 1)).otherwise(F.lit(0.0))
     b = F.array_min("_other")
     s = F.when(own["_n"] > 1, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0))
-    return per.select(label, s.alias("silhouette"))
+    return per.select(*g, label, s.alias("silhouette"))
 
 
 def objective(n_clusters: int, noise_ratio: float, silhouette: float | None, algorithm: str = "dbscan",

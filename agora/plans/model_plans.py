@@ -82,7 +82,43 @@ def q_infer_hook(spark, sf):
     return lab.select("doc_id", Q.weighted_score().alias("score"))
 
 
+N_TRIALS = 20
+
+
+def _deliq_points(spark, sf):
+    """Continuous stand-in for the merged DELIQ features (embedding entries)."""
+    p = S.points(spark, sf, 5)
+    return p.select("pid", F.col("x0").alias("score"), F.col("x1").alias("kl_divergence"),
+                    F.col("x2").alias("influence_score"), F.col("x3").alias("n_comments"), F.col("x4").alias("votes"))
+
+
+def q_weight_search(spark, sf):
+    from agora.operators import weights as W
+    m = W.evaluate_candidates(_deliq_points(spark, sf), W.dirichlet_candidates(N_TRIALS))
+    return m.select(F.col("candidate").cast("long").alias("candidate"), "w0", "w1", "w2",
+                    F.col("n_clusters").cast("long").alias("n_clusters"), "noise_ratio", "silhouette", "objective")
+
+
+def q_weight_comparison(spark, sf):
+    """C13 gate (Hopkins > 0.5 on the initial DELIQ features), then the
+    candidate search and the initial-versus-best table."""
+    from agora.functions import constants as K
+    from agora.operators import neighbors as N
+    from agora.operators import weights as W
+    pts = _deliq_points(spark, sf)
+    w = [x / sum(K.DELIQ_INITIAL_WEIGHTS) for x in K.DELIQ_INITIAL_WEIGHTS]
+    feats = pts.select("pid", (F.lit(w[0]) * F.col("score") + F.lit(w[1]) * F.col("kl_divergence")
+                               + F.lit(w[2]) * F.col("influence_score")).alias("deliq_score"), "votes", "n_comments")
+    h = N.hopkins(feats, ["deliq_score", "votes", "n_comments"], K.HOPKINS_SAMPLE_RATIO)
+    if not h > 0.5:
+        return spark.createDataFrame([(float(h), False)], "hopkins double, gate boolean")
+    table = W.comparison_table(W.evaluate_candidates(pts, W.dirichlet_candidates(N_TRIALS)))
+    return table.select(F.lit(float(h)).alias("hopkins"), F.lit(True).alias("gate"), "*")
+
+
 QUERIES = {
+    "weight_search": q_weight_search,
+    "weight_comparison": q_weight_comparison,
     "lda_topics": q_lda_topics,
     "lda_doc_topics": q_lda_doc_topics,
     "gmm": q_gmm,
