@@ -116,7 +116,23 @@ def q_weight_comparison(spark, sf):
     return table.select(F.lit(float(h)).alias("hopkins"), F.lit(True).alias("gate"), "*")
 
 
+TUNING_CANDIDATES = 2
+TUNING_DISCUSSIONS = 20
+
+
+def q_lda_tuning(spark, sf):
+    """Tuning on the first N documents (load order) that have enough
+    content (T17: at least 5 tuning tokens), then M9 / M10 / A27."""
+    d = S.text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", T.tuning_tokens("text").alias("toks"))
+    d = d.where(F.size("toks") >= 5).orderBy("doc_id").limit(TUNING_DISCUSSIONS)
+    best, results, cv, bow = M.tune_lda(spark, d, "toks", TUNING_CANDIDATES)
+    if best is None:
+        return spark.createDataFrame([], "discussion string")
+    return M.flatten_tuning(spark, best, cv, bow)
+
+
 QUERIES = {
+    "lda_tuning": q_lda_tuning,
     "weight_search": q_weight_search,
     "weight_comparison": q_weight_comparison,
     "lda_topics": q_lda_topics,
