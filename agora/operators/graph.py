@@ -22,9 +22,18 @@ from agora.session import cut_lineage
 def recency_factor(ts: Column, reference_date: str, floor: float = K.RECENCY_FLOOR) -> Column:
     """max(floor, 1 - days/365); days = floor of the elapsed time in days
     (negative for comments after the reference date)."""
-    # wall-clock difference (time zone stripped, as the source data is)
-    elapsed_us = F.timestamp_diff("MICROSECOND", ts.cast("timestamp_ntz"),
-                                  F.to_timestamp_ntz(F.lit(reference_date)))
+    # wall-clock difference (time zone stripped, as the source data is):
+    # whole days between the dates plus the time-of-day difference, so no
+    # session time zone or daylight-saving shift enters the count
+    ts = ts.cast("timestamp_ntz")
+    ref = F.to_timestamp_ntz(F.lit(reference_date))
+
+    def tod_us(c):
+        return (F.hour(c) * 3600 + F.minute(c) * 60).cast("double") * 1e6 + F.date_part(
+            F.lit("SECOND"), c).cast("double") * 1e6
+
+    elapsed_us = (F.unix_date(ref.cast("date")) - F.unix_date(ts.cast("date"))).cast("double") * 86_400_000_000.0 \
+        + (tod_us(ref) - tod_us(ts))
     days = F.floor(elapsed_us / F.lit(86_400_000_000.0))
     return F.greatest(F.lit(floor), F.lit(1.0) - days / F.lit(365.0))
 

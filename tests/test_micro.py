@@ -151,3 +151,18 @@ def test_bands_engagement_decimal(spark):
 def test_mode_smallest_of_ties(spark):
     df = spark.createDataFrame([(v,) for v in [10, 15, 15, 10, None]], "v int")
     assert Su.column_mode(df, "v").first()["mode"] == 10
+
+
+def test_recency_independent_of_session_time_zone(spark):
+    rows = [(dt.datetime(2024, 3, 9, 12),), (dt.datetime(2023, 11, 4, 23, 30),), (dt.datetime(2024, 3, 26, 0, 0, 1),)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = {}
+        for tz in ("UTC", "America/New_York", "Europe/Madrid"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got[tz] = [r[0] for r in df.select(G.recency_factor(F.col("ts"), "2024-03-27")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert got["UTC"] == got["America/New_York"] == got["Europe/Madrid"]
+    assert got["UTC"] == pytest.approx([1 - 17 / 365, 1 - 143 / 365, 1.0])
