@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = [
+    "agora.plans.coherence_plans",
     "agora.plans.misc_plans",
     "agora.plans.model_plans",
     "agora.plans.cluster_plans",
