@@ -53,7 +53,17 @@ def eps_pairs(points: DataFrame, cols: list[str], eps: float, group: str | None
 
 def dbscan(points: DataFrame, cols: list[str], eps: float = K.DBSCAN_EPS,
            min_samples: int = K.DBSCAN_MIN_SAMPLES, group: str | None = None) -> DataFrame:
-    """Labels (group?, pid, cluster) with noise = -1.  Clusters are
+    """Labels (group?, pid, cluster) with noise = -1, computed on the fine
+    grid without forming every epsilon-pair (see ``dbscan_grid``)."""
+    from agora.operators import dbscan_grid
+
+    return dbscan_grid.dbscan(points, cols, eps, min_samples, group)
+
+
+def dbscan_pairs(points: DataFrame, cols: list[str], eps: float = K.DBSCAN_EPS,
+                 min_samples: int = K.DBSCAN_MIN_SAMPLES, group: str | None = None) -> DataFrame:
+    """Reference DBSCAN from all epsilon-pairs (quadratic in dense regions;
+    kept to cross-check the grid version).  Labels (group?, pid, cluster).  Clusters are
     numbered by their smallest core pid and a border point joins the
     smallest adjacent cluster: the numbering of a sequential scan in pid
     order.  With ``group`` (e.g. a weight candidate), every group is
