@@ -264,11 +264,17 @@ def pagerank(
 
 
 # ---------------------------------------------------------------------- G18
-def weakly_connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 200,
-                                checkpoint_every: int = 5) -> DataFrame:
+def weakly_connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 200) -> DataFrame:
     """Label each node with the smallest node id of its weakly connected
-    component by min-label propagation over the undirected edge list.
-    Each round: one join of labels to edges + a min aggregate per node."""
+    component.
+
+    Each round: min-label propagation over the undirected edges (one join +
+    one aggregate; self rows carry the old label), then pointer jumping
+    (a node adopts its label's label when smaller), which shortens long
+    chains so the number of rounds grows with the log of the diameter rather
+    than the diameter.  Labels are always node ids of the same component, so
+    both steps only ever lower a label towards the component minimum.  The
+    label table is written to the reliable checkpoint folder every round."""
     und = (
         edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
         .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
@@ -278,22 +284,19 @@ def weakly_connected_components(nodes: DataFrame, edges: DataFrame, max_iter: in
     nodes1 = nodes.select("node").distinct()
     und2 = cut_lineage(und.select("a", "b", F.lit(False).alias("self")).unionByName(
         nodes1.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("self"))))
-    labels = nodes1.withColumn("label", F.col("node"))
-    previous = None
-    for it in range(1, max_iter + 1):
-        # one reference to the labels per round (self rows carry the old label)
-        nxt = (
+    labels = cut_lineage(nodes1.withColumn("label", F.col("node")))
+    for _ in range(max_iter):
+        prop = (
             und2.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("la").alias("label"), F.max(F.when(F.col("self"), F.col("la"))).alias("old"))
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        jump = prop.select(F.col("node").alias("label"), F.col("label").alias("ll"))
+        nxt = prop.join(jump, "label", "left").select(
+            "node", F.least(F.col("label"), F.coalesce(F.col("ll"), F.col("label"))).alias("label"), "old")
+        nxt = cut_lineage(nxt)
+        prop.unpersist()
         changed = nxt.where(F.col("label") < F.col("old")).limit(1).count()
-        if it % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        if previous is not None:
-            previous.unpersist()
-        previous = nxt
         labels = nxt.select("node", "label")
         if changed == 0:
             break

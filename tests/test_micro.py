@@ -166,3 +166,11 @@ def test_recency_independent_of_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", prev)
     assert got["UTC"] == got["America/New_York"] == got["Europe/Madrid"]
     assert got["UTC"] == pytest.approx([1 - 17 / 365, 1 - 143 / 365, 1.0])
+
+
+def test_components_long_chain(spark):
+    n = 400
+    nodes = spark.range(n).selectExpr("id as node")
+    edges = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst").where("src % 200 != 199")
+    got = {r["label"]: r["count"] for r in G.weakly_connected_components(nodes, edges).groupBy("label").count().collect()}
+    assert got == {0: 200, 200: 200}
