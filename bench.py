@@ -23,7 +23,7 @@ from agora.session import local_session  # noqa: E402
 HEADLINE = [
     "edges", "pagerank", "ranked_users", "clean_text", "lemmas", "phrased_tokens", "discussion_domains",
     "feature_rows", "thread_depth", "kl_content_domain", "domain_stats", "box_domain", "aqua_score",
-    "feature_merge", "histogram20", "kde_grid",
+    "feature_merge", "histogram20", "kde_grid", "dbscan", "coherence_cv",
 ]
 
 
