@@ -169,6 +169,19 @@ class PageRankNotConverged(RuntimeError):
     pass
 
 
+ROWS_PER_PARTITION = 2_000_000
+
+
+def partitions_for(spark, rows: int) -> int:
+    """Partition count for a table of ``rows`` rows that is joined repeatedly
+    (kept co-partitioned across rounds): about two million rows per
+    partition, at least the cluster's task slots, at most the session's
+    shuffle partition setting."""
+    slots = spark.sparkContext.defaultParallelism
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, max(slots, -(-rows // ROWS_PER_PARTITION))))
+
+
 def pagerank(
     nodes: DataFrame,
     edges: DataFrame,
@@ -193,23 +206,21 @@ def pagerank(
     One small aggregate per round returns (L1 change, dangling mass).
     """
     spark = nodes.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     node_ids = nodes.select("node").distinct()
 
     # edges with their source's out-weight, computed once and kept
     out_w = edges.groupBy("src").agg(F.sum("weight").alias("out_w"))
     ew = edges.join(out_w, "src").persist(StorageLevel.MEMORY_AND_DISK)
     src_w = ew.groupBy(F.col("src").alias("node")).agg(F.first("out_w").alias("out_w"))
-    state = (
-        node_ids.join(src_w, "node", "left")
-        .select("node", (F.col("out_w").isNull() | (F.col("out_w") == 0)).alias("dangling"))
-        .repartition(n_part, "node")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    state = node_ids.join(src_w, "node", "left").select(
+        "node", (F.col("out_w").isNull() | (F.col("out_w") == 0)).alias("dangling")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     n, n_dangling = state.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
     if n == 0:
         ew.unpersist()
         return node_ids.withColumn("pagerank", F.lit(None).cast("double"))
+    n_part = num_partitions or partitions_for(spark, ew.count() + n)
+    state = state.repartition(n_part, "node")
     state = state.withColumn("x", F.lit(1.0 / n))
     dangling_mass = n_dangling / n
 

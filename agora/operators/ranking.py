@@ -18,9 +18,9 @@ from agora.session import cut_lineage
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
                       num_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = df.repartitionByRange(n_part, *order).sortWithinPartitions(*order)
+    # without an explicit count the range exchange may be coalesced by AQE
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    sorted_df = ranged.sortWithinPartitions(*order)
     sorted_df = sorted_df.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_mid", F.monotonically_increasing_id()
     )
