@@ -16,7 +16,7 @@ ORACLE_SAMPLE = [
     "kl_content_domain", "domain_stats", "header_metrics", "top_atypical", "corr_matrix", "box_domain",
     "kl_quantiles", "kde_grid", "min_kl_per_user", "pivot_mean", "domain_subsets", "param_mode",
     "aqua_score", "feature_merge", "deliq_score", "dbscan", "calinski", "silhouette", "nn_distance",
-    "hopkins_fixed", "discussion_features", "densify",
+    "hopkins_fixed", "discussion_features", "densify", "coherence_counts", "coherence_cv", "tsv_roundtrip",
 ]
 
 
