@@ -6,6 +6,7 @@ import importlib
 
 _MODULES: list[str] = [
     "agora.llm.quality_queries",
+    "agora.llm.packing_queries",
 ]
 
 
