@@ -308,7 +308,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, buckets: int | None = None) ->
     numbered = numbered.withColumn("__n", F.col("__n") + F.col("__before")).select(*pieces.columns, "__n")
     plan = np.array(sorted(moves), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(plan)  # at most capacity**2 / 2 rows of 40 bytes
-    at_length, at_number = pieces.columns.index("length"), len(pieces.columns)
+    names = pieces.columns
+    at_length, at_number = names.index("length"), len(names)
 
     def look_up(batches):
         p = shared.value
@@ -318,7 +319,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, buckets: int | None = None) ->
             hit = p[np.searchsorted(keys, size * (1 << 40) + n, side="right") - 1]
             yield pa.RecordBatch.from_arrays(
                 batch.columns[:at_number] + [pa.array(hit[:, 3] + n - hit[:, 1]), pa.array(hit[:, 4])],
-                names=[*pieces.columns, "sequence_id", "offset"],
+                names=[*names, "sequence_id", "offset"],
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
