@@ -7,6 +7,7 @@ import importlib
 _MODULES: list[str] = [
     "agora.llm.quality_queries",
     "agora.llm.packing_queries",
+    "agora.llm.neardup_queries",
 ]
 
 
