@@ -8,6 +8,8 @@ _MODULES: list[str] = [
     "agora.llm.quality_queries",
     "agora.llm.packing_queries",
     "agora.llm.neardup_queries",
+    "agora.llm.decontaminate_queries",
+    "agora.llm.linededup_queries",
 ]
 
 
