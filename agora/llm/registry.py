@@ -10,6 +10,7 @@ _MODULES: list[str] = [
     "agora.llm.neardup_queries",
     "agora.llm.decontaminate_queries",
     "agora.llm.linededup_queries",
+    "agora.llm.ppm_queries",
 ]
 
 
