@@ -11,6 +11,7 @@ _MODULES: list[str] = [
     "agora.llm.decontaminate_queries",
     "agora.llm.linededup_queries",
     "agora.llm.ppm_queries",
+    "agora.llm.prefixhash_queries",
 ]
 
 
