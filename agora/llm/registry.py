@@ -12,6 +12,7 @@ _MODULES: list[str] = [
     "agora.llm.linededup_queries",
     "agora.llm.ppm_queries",
     "agora.llm.prefixhash_queries",
+    "agora.llm.warc_queries",
 ]
 
 
