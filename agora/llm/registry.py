@@ -13,6 +13,7 @@ _MODULES: list[str] = [
     "agora.llm.ppm_queries",
     "agora.llm.prefixhash_queries",
     "agora.llm.warc_queries",
+    "agora.llm.htmltext_queries",
 ]
 
 
