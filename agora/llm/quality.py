@@ -165,6 +165,26 @@ def class_moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.
     return {k: (float(v[0]), v[1 : 1 + d], v[1 + d :].reshape(d, d)) for k, v in out.items()}
 
 
+def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", shrinkage: float = 0.1) -> Discriminant:
+    """The discriminant of the labelled rows outside the held-out fold."""
+    rows = labels.where(F.col(label).isin(0, 1) & (fold(F.col(key)) != 0)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
+    return fit(class_moments(stats.join(rows, stats["key"] == rows["k"]).select("x", "label")), shrinkage)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, whole, that the classifier does not reject; rows
+    are judged where they stand, without a shuffle."""
+    model = train(freeze(statistics(docs, key, text), "statistics"), labels, key)
+    at = docs.columns.index(text)
+
+    def judge(batches):
+        for batch in batches:
+            x = np.array([document_statistics(t) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -177,8 +197,7 @@ def score_quality(
     """``doc_id, held_out, score, predicted`` for every document row; learns
     only from labelled rows outside the held-out fold (crc32(key) mod 5 = 0)."""
     stats = freeze(statistics(docs, key, text), "statistics")
-    train = labels.where(F.col(label).isin(0, 1) & (fold(F.col(key)) != 0)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
-    model = fit(class_moments(stats.join(train, stats["key"] == train["k"]).select("x", "label")), shrinkage)
+    model = train(stats, labels, key, label, shrinkage)
 
     def score(batches):
         for batch in batches:

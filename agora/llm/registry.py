@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-import importlib
-
-_MODULES: list[str] = [
-    "agora.llm.quality_queries",
-    "agora.llm.packing_queries",
-    "agora.llm.neardup_queries",
-    "agora.llm.decontaminate_queries",
-    "agora.llm.linededup_queries",
-    "agora.llm.ppm_queries",
-    "agora.llm.prefixhash_queries",
-    "agora.llm.warc_queries",
-    "agora.llm.htmltext_queries",
+import corpus_pipeline
+from agora.llm import (
+    decontaminate_queries,
+    htmltext_queries,
+    licences_queries,
+    linededup_queries,
+    neardup_queries,
+    packing_queries,
+    ppm_queries,
+    prefixhash_queries,
+    quality_queries,
+    warc_queries,
+)
+
+_MODULES = [
+    decontaminate_queries,
+    warc_queries,
+    packing_queries,
+    licences_queries,
+    htmltext_queries,
+    ppm_queries,
+    prefixhash_queries,
+    linededup_queries,
+    neardup_queries,
+    quality_queries,
 ]
 
 
-def _merged(name: str) -> dict:
-    out: dict = {}
+def all_queries() -> dict:
+    out = {"pipeline": corpus_pipeline.run}
     for m in _MODULES:
-        out |= getattr(importlib.import_module(m), name)
+        out |= m.QUERIES
     return out
 
 
-def all_queries() -> dict:
-    return _merged("QUERIES")
-
-
 def all_oracle_sql() -> dict:
-    return _merged("ORACLE")
+    out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    for m in _MODULES:
+        out |= m.ORACLE
+    return out
