@@ -16,7 +16,8 @@ Plan:
    word shingles (not hashes);
 3. components of the confirmed links; buckets whose members already share a
    component are done, in the others the pairs *between* components are
-   screened and confirmed as well.  So every candidate pair is either tested
+   screened and confirmed as well; the screen also knows how many shingles of
+   a document no other one of these has, which bounds what a pair can share.  So every candidate pair is either tested
    or inside one component: no candidate is capped and no group is expanded
    into all its pairs.
 
@@ -166,6 +167,45 @@ def _confirm(pairs: DataFrame, texts: DataFrame, method: MinMax, per_task: int =
     return rows.mapInArrow(test, f"a {kind}, b {kind}")
 
 
+def _unshared(members: DataFrame, texts: DataFrame, method: MinMax, per_part: int = 2_000_000) -> DataFrame:
+    """``id, lone``: how many shingles of each member (``id, n``) no other
+    member has.  Shingle hashes are dealt by value over parts of about
+    ``per_part`` hashes, and each part counts its own; equal hashes of
+    different shingles can only lower a count."""
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts, k = int(total) // per_part + 1, method.shingle
+    kind = members.schema["id"].dataType.simpleString()
+
+    def deal(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = shingle_hashes(words(text), k)
+                part = (mix(x) % np.uint64(parts)).astype(np.int64)
+                own = [x[part == p].view(np.int64) for p in np.unique(part)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.unique(part)), pa.array([doc] * len(own), batch.schema.types[0]), pa.array(own, pa.list_(pa.int64()))], names=["part", "id", "x"]
+                )
+
+    def count(batches):
+        ids, hashes, sizes, id_type = [], [], [], pa.int64()
+        for batch in batches:
+            id_type = batch.schema.types[1]
+            ids += batch.column(1).to_pylist()
+            lists = batch.column(2)
+            sizes.append(np.diff(lists.offsets.to_numpy()))
+            hashes.append(lists.flatten().to_numpy())
+        if ids:
+            every, n = np.concatenate(hashes), np.concatenate(sizes)
+            _, first, times = np.unique(every, return_index=True, return_counts=True)
+            owner = np.repeat(np.arange(len(ids)), n)[first[times == 1]]
+            lone = np.bincount(owner, minlength=len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(lone, pa.int64())], names=["id", "lone"])
+
+    dealt = texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(deal, f"part long, id {kind}, x array<long>")
+    counted = dealt.repartition(parts, "part").mapInArrow(count, f"id {kind}, lone long")
+    return counted.groupBy("id").agg(F.sum("lone").alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, method: MinMax = MinMax(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row."""
     sk = freeze(sketches(docs, method, key, text), "sketches")
@@ -207,9 +247,14 @@ def near_duplicates(docs: DataFrame, method: MinMax = MinMax(), key: str = "doc_
         at.where("id <> hub").join(open_, F.col("band") == F.col("k"), "left_semi").join(bits.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i", "hub"),
         "open",
     )
-    x, y = rest.alias("x"), rest.alias("y")
+    lone = freeze(_unshared(rest.select("id", "n").distinct(), texts, method), "unshared")
+    held = rest.join(lone, "id").where((100 * (F.col("n") - F.col("lone")) >= method.percent * F.col("n")))
+    x, y = held.alias("x"), held.alias("y")
+    # no more than the shared shingles of either can be common
+    most = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
+    enough = 100 * most >= method.percent * (F.col("x.n") + F.col("y.n") - most)
     between = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _alike(method, "x", "y"))
+        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & enough & _alike(method, "x", "y"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
