@@ -58,13 +58,15 @@ def line_chunks(docs: DataFrame, key: str, text: str, window: int = 2, divisor:
         .select("id", "__lines", h.alias("__h"))
         .select("id", "__lines", ends.alias("__ends"))
     )
-    start = lambda c: F.coalesce(F.get("__ends", c - 1), F.lit(0)) + 1
-    return cut.select("id", "__lines", "__ends", F.posexplode("__ends").alias("chunk", "__end")).select(
-        "id",
-        "chunk",
-        (F.col("__end") - start(F.col("chunk")) + 1).alias("n_lines"),
-        F.array_join(F.slice("__lines", start(F.col("chunk")), F.col("__end") - start(F.col("chunk")) + 1), "\n").alias("body"),
+    # the chunks are built as one array: exploded rows then carry a chunk each, not the whole document
+    lines, bounds = F.col("__lines"), F.col("__ends")
+    start = lambda c: F.coalesce(F.get(bounds, c - 1), F.lit(0)) + 1
+    many = lambda c: F.get(bounds, c) - start(c) + 1
+    rows = F.transform(
+        F.sequence(F.lit(0), F.size("__ends") - 1),
+        lambda c: F.struct(c.alias("chunk"), many(c).alias("n_lines"), F.array_join(F.slice(lines, start(c), many(c)), "\n").alias("body")),
     )
+    return cut.select("id", F.inline(rows))
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 2, divisor: int = 3, least: int = 2) -> DataFrame:
