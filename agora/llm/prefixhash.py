@@ -149,13 +149,13 @@ def with_successor(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = [i / (4 * width) for i in range(1, 4 * width)]
     ids = src.select("at")
-    bounds = ids.agg(F.percentile_approx("at", points, 20 * width).alias("q")).first()["q"] or []
+    bounds = ids.agg(F.percentile_approx("at", points, 20 * width).alias("q")).first()["q"]
+    if not bounds:  # no rows
+        return src.select(F.lit(0.0).alias("block"), F.lit(0).alias("tail"), "doc_id", "text")
     splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
     block = Bucketizer(splits=splits, inputCol="__at", outputCol="block")
     blocks = lambda df: block.transform(df.withColumn("__at", F.col("at").cast("double"))).drop("__at")
     firsts = sorted((r["block"], r["first"]) for r in blocks(ids).groupBy("block").agg(F.max("at").alias("first")).collect())
-    if not firsts:
-        return src.select(F.lit(0.0).alias("block"), F.lit(0).alias("tail"), "doc_id", "text")
     # the first row of a block ends the next higher one; the highest block's ends the lowest
     ends = [(first, firsts[(i + 1) % len(firsts)][0]) for i, (_, first) in enumerate(firsts)]
     ends_df = F.broadcast(spark.createDataFrame(ends, "first long, home double"))  # one row per block
