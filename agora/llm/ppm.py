@@ -87,7 +87,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class _Tally:
     """Distinct grams and their counts, held as a few sorted runs."""
 
-    def __init__(self, most: int = 4_000_000):
+    def __init__(self, most: int = 1_500_000):
         self.raw: list[np.ndarray] = []
         self.raw_size = 0
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -97,7 +97,7 @@ class _Tally:
         # the weight rides in the lowest bit: no second array to sort
         self.raw.append((keys << 1) | weight)
         self.raw_size += keys.size
-        if self.raw_size >= 2_000_000:
+        if self.raw_size >= 1_000_000:
             self._sort()
 
     def _sort(self) -> None:
@@ -165,7 +165,7 @@ def count_grams_and_words(docs: DataFrame, order: int) -> DataFrame:
                 if held.full():
                     for keys, n in held.drain():
                         yield from out(keys, n)
-                if len(vocabulary) > 1_000_000:
+                if len(vocabulary) > 500_000:
                     yield from out()
         for keys, n in held.drain():
             yield from out(keys, n)
@@ -278,11 +278,14 @@ class Codes:
     """Scores by gram: buckets of a hash, two arrays and their starts."""
 
     def __init__(self, keys: np.ndarray, scores: np.ndarray):
-        self.bits = max(4, int(keys.size).bit_length() + 1)
+        self.bits = max(4, int(keys.size).bit_length())
         at = self._bucket(keys)
         by = np.argsort(at, kind="stable")
-        self.keys, self.scores = np.append(keys[by], -1), np.append(scores[by], 0.0)
-        self.start = np.searchsorted(at[by], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.start = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(at, minlength=1 << self.bits), out=self.start[1:])
+        del at
+        self.keys = np.append(keys[by], -1)
+        self.scores = np.append(scores[by], 0.0)
 
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
         h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -319,12 +322,18 @@ def read_once(slot: str, path: str, make):
         uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
         system, inner = fs.FileSystem.from_uri(uri)
         _READ.pop(slot, None)
-        _READ[slot] = (path, make(ds.dataset(inner, filesystem=system, format="parquet").to_table()))
+        _READ[slot] = (path, make(ds.dataset(inner, filesystem=system, format="parquet")))
     return _READ[slot][1]
 
 
-def _codes(t: pa.Table) -> Codes:
-    return Codes(t.column("gram").to_numpy().astype(np.int64), t.column("score").to_numpy())
+def _codes(source) -> Codes:
+    keys, scores = (source.to_table(columns=[c]).column(0).to_numpy() for c in ("gram", "score"))
+    return Codes(keys, scores)
+
+
+def _counts(source) -> dict[bytes, int]:
+    t = source.to_table()
+    return dict(zip(t.column("word").to_pylist(), t.column("c").to_pylist()))
 
 
 def _folder(frozen: DataFrame) -> str:
@@ -369,7 +378,7 @@ def score_texts(
     def rate(path: str, first: bool):
         def run(batches):
             codes = read_once("codes", path, _codes)
-            known = read_once("words", common_path, lambda t: dict(zip(t.column("word").to_pylist(), t.column("c").to_pylist()))) if first else {}
+            known = read_once("words", common_path, _counts) if first else {}
             logs = {c: float(np.log10(c + 0.5)) for c in set(known.values())}
             for batch in batches:
                 for lo in range(0, batch.num_rows, 128):
