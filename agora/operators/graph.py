@@ -175,11 +175,11 @@ ROWS_PER_PARTITION = 2_000_000
 def partitions_for(spark, rows: int) -> int:
     """Partition count for a table of ``rows`` rows that is joined repeatedly
     (kept co-partitioned across rounds): about two million rows per
-    partition, at least the cluster's task slots, at most the session's
-    shuffle partition setting."""
+    partition, and at least the cluster's task slots or the session's shuffle
+    partition setting, whichever is less."""
     slots = spark.sparkContext.defaultParallelism
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, max(slots, -(-rows // ROWS_PER_PARTITION))))
+    least = min(slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, least, -(-rows // ROWS_PER_PARTITION))
 
 
 def pagerank(
@@ -188,7 +188,7 @@ def pagerank(
     alpha: float = K.PAGERANK_ALPHA,
     max_iter: int = K.PAGERANK_MAX_ITER,
     tol: float = K.PAGERANK_TOL,
-    on_no_convergence: str = "uniform",
+    on_no_convergence: str = "error",
     checkpoint_every: int = 10,
     num_partitions: int | None = None,
 ) -> DataFrame:
@@ -196,19 +196,22 @@ def pagerank(
 
     Out-weights are row-normalized; nodes whose out-weight sum is zero are
     dangling and spread their mass uniformly.  Stops when the L1 change is
-    below ``N * tol``.  Without convergence: ``"uniform"`` returns 1/N for
-    every node (G7), ``"error"`` raises, ``"last"`` returns the last iterate.
+    below ``N * tol``.  Without convergence: ``"error"`` raises, ``"uniform"``
+    returns 1/N for every node (G7, the drawing path), ``"last"`` returns the
+    last iterate.
 
     Plan: the normalized transition table is hash-partitioned by ``src`` and
-    materialized once; the rank vector is kept partitioned by node with the
-    same partition count, so each round joins without moving the edges and
-    shuffles only the partial sums of the contributions (map-side combined).
+    kept (memory, then disk; a lost part is recomputed from the checkpointed
+    edges), so its partitioning is known to the planner and each round joins
+    without moving the edges: only the small rank vector and the partial sums
+    of the contributions (map-side combined) are shuffled.
     One small aggregate per round returns (L1 change, dangling mass).
     """
     spark = nodes.sparkSession
     node_ids = nodes.select("node").distinct()
 
     # edges with their source's out-weight, computed once and kept
+    edges = cut_lineage(edges)
     out_w = edges.groupBy("src").agg(F.sum("weight").alias("out_w"))
     ew = edges.join(out_w, "src").persist(StorageLevel.MEMORY_AND_DISK)
     src_w = ew.groupBy(F.col("src").alias("node")).agg(F.first("out_w").alias("out_w"))
@@ -227,14 +230,16 @@ def pagerank(
     # Row-normalized transitions plus one self row per node.  The self rows
     # carry each node's previous value and dangling flag through the same
     # join + aggregate that sums the contributions, so every round
-    # references the state once.  Written once to the reliable checkpoint
-    # folder, hash-partitioned by source like the rank vector.
-    trans2 = cut_lineage(
+    # references the state once.  A written table would lose its partitioning
+    # and be shuffled in every round, a persisted one keeps it.
+    trans2 = (
         ew.where(F.col("out_w") != 0)
         .select("src", "dst", (F.col("weight") / F.col("out_w")).alias("p"), F.lit(False).alias("self"))
         .unionByName(state.select(F.col("node").alias("src"), F.col("node").alias("dst"),
                                   F.lit(0.0).alias("p"), F.lit(True).alias("self")))
-        .repartition(n_part, "src"))
+        .repartition(n_part, "src")
+        .persist(StorageLevel.MEMORY_AND_DISK))
+    trans2.count()
     ew.unpersist()
     converged = False
     previous = None
@@ -265,6 +270,8 @@ def pagerank(
         if err < n * tol:
             converged = True
             break
+    state = cut_lineage(state)
+    trans2.unpersist()
 
     if not converged:
         if on_no_convergence == "error":
@@ -275,43 +282,34 @@ def pagerank(
 
 
 # ---------------------------------------------------------------------- G18
-def weakly_connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 200) -> DataFrame:
+def weakly_connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Label each node with the smallest node id of its weakly connected
     component.
 
-    Each round: min-label propagation over the undirected edges (one join +
-    one aggregate; self rows carry the old label), then pointer jumping
-    (a node adopts its label's label when smaller), which shortens long
-    chains so the number of rounds grows with the log of the diameter rather
-    than the diameter.  Labels are always node ids of the same component, so
-    both steps only ever lower a label towards the component minimum.  The
-    label table is written to the reliable checkpoint folder every round."""
-    und = (
-        edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-        .where(F.col("a") != F.col("b"))
-        .distinct()
-    )
-    nodes1 = nodes.select("node").distinct()
-    und2 = cut_lineage(und.select("a", "b", F.lit(False).alias("self")).unionByName(
-        nodes1.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("self"))))
-    labels = cut_lineage(nodes1.withColumn("label", F.col("node")))
-    for _ in range(max_iter):
-        prop = (
-            und2.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-            .groupBy(F.col("b").alias("node"))
-            .agg(F.min("la").alias("label"), F.max(F.when(F.col("self"), F.col("la"))).alias("old"))
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        jump = prop.select(F.col("node").alias("label"), F.col("label").alias("ll"))
-        nxt = prop.join(jump, "label", "left").select(
-            "node", F.least(F.col("label"), F.coalesce(F.col("ll"), F.col("label"))).alias("label"), "old")
-        nxt = cut_lineage(nxt)
-        prop.unpersist()
-        changed = nxt.where(F.col("label") < F.col("old")).limit(1).count()
-        labels = nxt.select("node", "label")
-        if changed == 0:
+    Alternating star contraction: in each round every node first hooks its
+    larger neighbours, then its smaller ones, to the smallest of them, until
+    the edges no longer change; then every node hangs on its component's
+    smallest id.  Joins are on nodes and their own neighbourhoods (never on a
+    label that a whole component shares), sums are combined before the
+    shuffle, and the edges are written to the checkpoint folder every round."""
+    now = cut_lineage(edges.where(F.col("src") != F.col("dst")).select(
+        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    mark = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.col("n")).alias("m"))
+        large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        own = low.where("m < n").select(F.col("n").alias("u"), F.col("m").alias("v"))
+        star = large.unionByName(own).where("u <> v").distinct()
+        low2 = star.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+        small = star.join(low2, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = cut_lineage(small.unionByName(low2.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
+        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == mark:
             break
-    return labels
+        mark = seen
+    return nodes.select("node").distinct().join(now, F.col("node") == F.col("u"), "left").select(
+        "node", F.coalesce("v", "node").alias("label"))
 
 
 # -------------------------------------------------------------- G11 - G17

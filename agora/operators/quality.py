@@ -63,7 +63,7 @@ def infer_labels(df: DataFrame, text_col: str, scorer: Callable[[pd.Series], pd.
         for pdf in batches:
             logits = scorer(pdf[text_col])
             for t in tasks:
-                pdf[f"{t}_ad"] = np.asarray([int(np.argmax(np.asarray(x))) for x in logits[t]], dtype="int64")
+                pdf[f"{t}_ad"] = np.asarray(logits[t].tolist()).reshape(len(pdf), -1).argmax(axis=1) if len(pdf) else np.zeros(0, "int64")
             yield pdf
 
     return df.where(F.col(text_col).isNotNull()).mapInPandas(run, out_schema)

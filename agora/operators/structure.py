@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from agora.functions.lookups import expertise_rank
 from agora.session import cut_lineage
 
 
-def node_levels(adjacency: DataFrame, key: str, node: str, parent: str, max_depth: int = 10_000,
+def node_levels(adjacency: DataFrame, key: str, node: str, parent: str,
                 checkpoint_every: int = 8) -> DataFrame:
     """Level of every node of a reply forest: top-level comments (null
     parent) are level 1, a reply is its parent's level + 1.
@@ -27,7 +29,7 @@ def node_levels(adjacency: DataFrame, key: str, node: str, parent: str, max_dept
         F.col(key).alias("_k"), F.col(node).alias("_n"), F.lit(1).alias("level"))
     levels = [frontier]
     acc = frontier
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2):  # until no reply is left
         nxt = (
             frontier.select("_k", F.col("_n").alias("_p"))
             .join(children, ["_k", "_p"])
@@ -53,10 +55,11 @@ def thread_depth(discussion_ids: DataFrame, id_col: str, levels: DataFrame, key:
 
 def comment_stats(comments: DataFrame) -> DataFrame:
     """F2 + F5 per discussion over top-level comments (deleted included):
-    count and mean expertise rank (unknown -> 0)."""
+    count and mean expertise rank over the comments that have the attribute
+    (an unknown rank counts as 0, an absent one does not count)."""
     return comments.groupBy("discussion_id").agg(
         F.count(F.lit(1)).alias("n_comments"),
-        F.avg(expertise_rank(F.col("expertise"))).alias("expertise_avg"),
+        F.avg(F.when(F.col("expertise").isNotNull(), expertise_rank(F.col("expertise")))).alias("expertise_avg"),
     )
 
 

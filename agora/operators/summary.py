@@ -1,10 +1,9 @@
 """Summary statistics and dashboard aggregates.
 
-Exact quantiles come from one range-partitioned global sort (see
-``ranking.global_row_number``): within a group, the k-th smallest value has
-global number ``group_start + k``, so the interpolation points are fetched
-by a join against a tiny target table.  No group is ever collected into one
-task, however large.
+Exact quantiles come from counts per (group, value): the counted rows are
+sorted over range partitions and summed up (``ranking.running_total``), and
+the interpolation points are the values whose count range holds the wanted
+positions.  No group is ever collected into one task, however large.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import constants as K
-from agora.operators.ranking import global_row_number
+from agora.operators.ranking import running_total
 
 
 # ------------------------------------------------------------- P8 / P9
@@ -58,23 +57,25 @@ def range_filter(df: DataFrame, kl="kl_divergence", domain: str | None = None, l
 def quantiles(df: DataFrame, value: str, probs: list[float], group: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas/numpy 'linear').
     Output: (group?, prob, q)."""
-    spark = df.sparkSession
     keys = [group] if group else []
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # equal values become one counted row, so a value that a third of all rows
+    # share is one row, and only distinct values are sorted
+    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     order = ([F.col(group).asc_nulls_first()] if group else []) + [F.col("_v")]
-    ranked = global_row_number(base, order, "_r")
-    gs = ranked.groupBy(*keys).agg(F.min("_r").alias("_g0"), F.count(F.lit(1)).alias("_n"))
-    tgt = gs.select(*keys, "_g0", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    pos = (F.col("_n") - 1) * F.col("prob")
-    tgt = tgt.select(*keys, "prob", (F.col("_g0") + F.floor(pos)).alias("_lo"),
-                     (F.col("_g0") + F.ceil(pos)).alias("_hi"), (pos - F.floor(pos)).alias("_f"))
-    pts = tgt.select(*keys, "prob", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    vals = ranked.join(F.broadcast(pts.select("_r").distinct()), "_r").select("_r", "_v")
-    lo = vals.select(F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = vals.select(F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    out = tgt.join(lo, "_lo").join(hi, "_hi")
-    return out.select(*keys, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("q"))
+    placed = running_total(counts, order, "_c", "_b")
+    gs = placed.groupBy(*keys).agg(F.min("_b").alias("_g0"), F.sum("_c").alias("_n"))
+    pos = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.col("_g0") + F.floor(pos(p))).alias("lo"), (F.col("_g0") + F.ceil(pos(p))).alias("hi"),
+                                (pos(p) - F.floor(pos(p))).alias("f")) for p in probs])
+    targets = gs.where("_n > 0").select(*[F.col(k).alias("_k") for k in keys], wanted.alias("_t"))
+    joined = placed.join(targets, F.col(group).eqNullSafe(F.col("_k"))) if group else placed.join(F.broadcast(targets))
+    within = lambda at: (F.col("_b") <= at) & (at < F.col("_b") + F.col("_c"))
+    near = joined.select(*keys, "_v", "_b", "_c", F.explode(F.filter("_t", lambda t: within(t["lo"]) | within(t["hi"]))).alias("_t"))
+    ends = near.groupBy(*keys, F.col("_t.prob").alias("prob"), F.col("_t.f").alias("_f")).agg(
+        F.max(F.when(within(F.col("_t.lo")), F.col("_v"))).alias("_vlo"), F.max(F.when(within(F.col("_t.hi")), F.col("_v"))).alias("_vhi"))
+    return ends.select(*keys, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("q"))
 
 
 # ----------------------------------------------------------------- A4 / A5
@@ -163,23 +164,19 @@ def histogram(df: DataFrame, value: str, bins: int = 20, group: str | None = Non
 # -------------------------------------------------------------------- A12
 def kde_grid(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     """Gaussian KDE on an equal grid over [min, max], Scott bandwidth
-    (n^-1/5 times the sample std).  Values are first collapsed to
-    (value, count); each distinct value adds its contribution to every grid
-    point through an array, summed per point with partial aggregation."""
+    (n^-1/5 times the sample std): one aggregate of ``points`` sums, which
+    neither shuffles values nor multiplies rows."""
     v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x"))
     n = v.agg(F.count(F.lit(1)).cast("double")).scalar()
     sd = v.agg(F.stddev_samp("_x")).scalar()
-    dv = (v.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
-          .withColumn("_n", n).withColumn("_h", sd * F.pow(n, F.lit(-0.2)))
-          .withColumn("_mn", v.agg(F.min("_x")).scalar()).withColumn("_mx", v.agg(F.max("_x")).scalar()))
-    step = (F.col("_mx") - F.col("_mn")) / F.lit(points - 1)
-    contrib = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_c") * F.exp(
-        F.lit(-0.5) * F.pow((F.col("_mn") + i * step - F.col("_x")) / F.col("_h"), 2)))
-    ex = dv.select("_n", "_h", "_mn", step.alias("_step"), F.posexplode(contrib).alias("point", "_k"))
-    g = ex.groupBy("point").agg(F.sum("_k").alias("_s"), F.first("_n").alias("_n"), F.first("_h").alias("_h"),
-                                F.first("_mn").alias("_mn"), F.first("_step").alias("_step"))
+    lo, hi = v.agg(F.min("_x")).scalar(), v.agg(F.max("_x")).scalar()
+    one = df.sparkSession.range(1).select(n.alias("_n"), (sd * F.pow(n, F.lit(-0.2))).alias("_h"), lo.alias("_mn"), ((hi - lo) / F.lit(points - 1)).alias("_step"))
+    scaled = v.join(F.broadcast(one))  # one row
+    kernel = lambda i: F.exp(F.lit(-0.5) * F.pow((F.col("_mn") + F.lit(i) * F.col("_step") - F.col("_x")) / F.col("_h"), 2))
+    sums = scaled.groupBy("_n", "_h", "_mn", "_step").agg(F.array(*[F.sum(kernel(i)) for i in range(points)]).alias("_s"))
+    g = sums.select("_n", "_h", "_mn", "_step", F.posexplode("_s").alias("point", "_k"))
     return g.select("point", (F.col("_mn") + F.col("point") * F.col("_step")).alias("x"),
-                    (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+                    (F.col("_k") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 # ---------------------------------------------------------- A13 / A14

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from agora.functions import text as T
 from agora.operators import coherence as Co
 
+from agora.session import cut_lineage
 from agora.sources import tables as S
 
 TOPN = 20
@@ -24,7 +25,7 @@ def _inputs(spark, sf):
     freq = docs.select("lang", F.explode("toks").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
     rk = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("c").desc(), F.col("word")))
     topics = freq.withColumn("rk", rk).where(F.col("rk") <= TOPN).select(F.col("lang").alias("topic"), "word")
-    return docs, topics
+    return docs, cut_lineage(topics)  # read by every step; one word count of the corpus
 
 
 def q_coherence_counts(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.operators import graph as G
 from agora.operators.ranking import global_row_number
+from agora.session import cut_lineage
 from agora.plans import sql_views as V
 from agora.plans.common import R, r6, with_ctes
 from agora.sources import tables as S
@@ -49,9 +50,10 @@ def q_in_degree(spark, sf) -> DataFrame:
     return G.in_degree(nodes, edges)
 
 
-def _scores(spark, sf):
+def _scores(spark, sf, on_no_convergence: str = "error"):
     _, _, nodes, edges = _graph(spark, sf)
-    pr = G.pagerank(nodes, edges)
+    nodes, edges = cut_lineage(nodes), cut_lineage(edges)  # both are read several times
+    pr = G.pagerank(nodes, edges, on_no_convergence=on_no_convergence)
     return nodes, edges, pr
 
 
@@ -76,7 +78,7 @@ def q_ranked_users(spark, sf) -> DataFrame:
 
 
 def _top(spark, sf):
-    nodes, edges, pr = _scores(spark, sf)
+    nodes, edges, pr = _scores(spark, sf, "uniform")
     scored = nodes.join(pr, "node").select("node", "pagerank", "kind", "node_order")
     top = G.top_nodes(scored, [F.col("kind"), F.col("node_order")], TOP_N)
     return top, G.induced_subgraph(edges, top)

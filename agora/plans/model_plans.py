@@ -1,18 +1,24 @@
-"""Registered rows-only queries: randomized / iterative models, ingest and
-inference hooks (no SQL twin; checked by properties in tests)."""
+"""Registered queries: randomized / iterative models (no SQL twin; checked by
+properties in tests), dump ingest and inference hooks."""
 
 from __future__ import annotations
 
+import inspect
 import uuid
 
 from pyspark.sql import functions as F
 
+from agora.functions import constants as K
 from agora.functions import text as T
 from agora.operators import cluster as C
+from agora.operators import domains as D
 from agora.operators import models as M
 from agora.operators import quality as Q
+from agora.plans import sql_views as V
+from agora.plans import text_plans as TP
 from agora.plans.cluster_plans import COLS, _std
-from agora.session import ensure_checkpoint_dir
+from agora.plans.common import R, r6, with_ctes
+from agora.session import cut_lineage, ensure_checkpoint_dir
 from agora.sources import forum_json as J
 from agora.sources import tables as S
 from agora.sources.scored import TASKS
@@ -23,8 +29,9 @@ def _docs_tokens(spark, sf):
 
 
 def q_lda_topics(spark, sf):
-    cv, model, _ = M.fit_lda(_docs_tokens(spark, sf), "toks")
-    return M.topic_terms(spark, cv, model, 5)
+    docs = cut_lineage(_docs_tokens(spark, sf))
+    cv, model, _ = M.fit_lda(docs, "toks")
+    return M.topic_terms(cv, model, docs, 5)
 
 
 def q_lda_doc_topics(spark, sf):
@@ -68,7 +75,7 @@ def _dump(spark, sf):
 
 def q_json_ingest(spark, sf):
     d = J.discussions_from_dump(_dump(spark, sf))
-    return d.select("id", "title", "user", "votes", "forum", "n_comments", F.array_join("domains", "|").alias("domains"))
+    return d.select("id", "title", "user", "votes", "n_comments", F.array_join("domains", "|").alias("domains"))
 
 
 def q_json_comments(spark, sf):
@@ -79,7 +86,7 @@ def q_json_comments(spark, sf):
 def q_infer_hook(spark, sf):
     docs = S.text_table(spark, sf, "documents", "doc_id", "text")
     lab = Q.infer_labels(docs, "text", Q.deterministic_scorer(TASKS), TASKS)
-    return lab.select("doc_id", Q.weighted_score().alias("score"))
+    return lab.select("doc_id", r6(Q.weighted_score()).alias("score"))
 
 
 N_TRIALS = 20
@@ -102,7 +109,6 @@ def q_weight_search(spark, sf):
 def q_weight_comparison(spark, sf):
     """C13 gate (Hopkins > 0.5 on the initial DELIQ features), then the
     candidate search and the initial-versus-best table."""
-    from agora.functions import constants as K
     from agora.operators import neighbors as N
     from agora.operators import weights as W
     pts = _deliq_points(spark, sf)
@@ -110,24 +116,20 @@ def q_weight_comparison(spark, sf):
     feats = pts.select("pid", (F.lit(w[0]) * F.col("score") + F.lit(w[1]) * F.col("kl_divergence")
                                + F.lit(w[2]) * F.col("influence_score")).alias("deliq_score"), "votes", "n_comments")
     h = N.hopkins(feats, ["deliq_score", "votes", "n_comments"], K.HOPKINS_SAMPLE_RATIO)
-    if not h > 0.5:
-        return spark.createDataFrame([(float(h), False)], "hopkins double, gate boolean")
+    is_open = bool(h > 0.5)
     table = W.comparison_table(W.evaluate_candidates(pts, W.dirichlet_candidates(N_TRIALS)))
-    return table.select(F.lit(float(h)).alias("hopkins"), F.lit(True).alias("gate"), "*")
+    cells = [F.col(c) if is_open else F.lit(None).cast(t).alias(c) for c, t in table.dtypes]  # one schema, open or closed
+    return table.select(F.lit(float(h)).alias("hopkins"), F.lit(is_open).alias("gate"), *cells)
 
 
 TUNING_CANDIDATES = 2
-TUNING_DISCUSSIONS = 20
 
 
 def q_lda_tuning(spark, sf):
-    """Tuning on the first N documents (load order) that have enough
-    content (T17: at least 5 tuning tokens), then M9 / M10 / A27."""
+    """Tuning on all documents that have enough content
+    (T17: at least 5 tuning tokens)."""
     d = S.text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", T.tuning_tokens("text").alias("toks"))
-    d = d.where(F.size("toks") >= 5).orderBy("doc_id").limit(TUNING_DISCUSSIONS)
-    best, results, cv, bow = M.tune_lda(spark, d, "toks", TUNING_CANDIDATES)
-    if best is None:
-        return spark.createDataFrame([], "discussion string")
+    best, results, cv, bow = M.tune_lda(spark, d.where(F.size("toks") >= 5), "toks", TUNING_CANDIDATES)
     return M.flatten_tuning(spark, best, cv, bow)
 
 
@@ -144,4 +146,29 @@ QUERIES = {
     "json_comments": q_json_comments,
     "infer_hook": q_infer_hook,
 }
-ORACLE: dict[str, str] = {}
+_CID = """(CAST(k2 AS VARCHAR) || '-' || CAST(k3 AS VARCHAR) || '-' || CAST(k4 AS VARCHAR) || '-' || CAST(k5 AS VARCHAR))"""
+
+_BOUND = inspect.signature(Q.weighted_score).parameters["bound"].default
+
+
+def _label_sql(k: int) -> str:
+    """The stand-in scorer's arg-max of task number ``k``."""
+    logits = f"[(n + {k}) % 5, (w + {2 * k}) % 5, (n + w) % 3, {k % 4}]"
+    return f"(list_position({logits}, list_max({logits})) - 1)"
+
+
+ORACLE: dict[str, str] = {
+    "json_comments": with_ctes(V.COMMENTS, body=f"""
+        SELECT CAST(discussion_id AS VARCHAR) AS discussion_id, {_CID} AS id, "user", votes, is_deleted,
+               'see  URL  now' AS content FROM comments"""),
+    "json_ingest": with_ctes(V.DISCUSSIONS, V.COMMENTS, D.taxonomy_cte("tx"), D.taxonomy_cte("kw", single_token=True), body="""
+        SELECT CAST(id AS VARCHAR) AS id, title, "user", votes, CAST(coalesce(n, 0) AS BIGINT) AS n_comments,
+               CASE WHEN tags IS NOT NULL THEN """ + TP._BY_TAGS + " ELSE " + TP._by_content("kw", "title", "title") + """ END AS domains
+        FROM discussions LEFT JOIN (SELECT discussion_id, count(*) AS n FROM comments GROUP BY discussion_id) c
+          ON discussion_id = id"""),
+    "infer_hook": f"""
+        SELECT doc_id, {R("(" + " + ".join(f"{w!r} * {_label_sql(k)}" for k, (_, w) in enumerate(K.QUALITY_TASK_WEIGHTS))
+                          + f" - {K.QUALITY_SCORE_MIN!r}) / {K.QUALITY_SCORE_MAX - K.QUALITY_SCORE_MIN!r} * {_BOUND!r}")} AS score
+        FROM (SELECT doc_id, length(text) AS n, length(text) - length(replace(text, ' ', '')) AS w
+              FROM documents WHERE text IS NOT NULL)""",
+}

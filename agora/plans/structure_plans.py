@@ -30,7 +30,12 @@ def q_vote_ratio(spark, sf) -> DataFrame:
 
 
 def q_feature_rows(spark, sf) -> DataFrame:
-    f = St.feature_rows(S.discussions(spark, sf), S.comments(spark, sf))
+    """Depth (F1) over the comments (level 1) and the replies: a conversation
+    stands in for the reply thread of the discussion with its number."""
+    d, c = S.discussions(spark, sf), S.comments(spark, sf)
+    levels = c.select("discussion_id", F.lit(1).alias("level")).unionByName(
+        St.node_levels(S.reply_edges(spark, sf), "conv_id", "turn", "parent_turn").select(F.col("conv_id").alias("discussion_id"), "level"))
+    f = St.feature_rows(d, c, St.thread_depth(d, "id", levels, "discussion_id"))
     return f.select("discussion_id", "depth", r6("expertise_avg").alias("expertise_avg"),
                     r6("vote_ratio").alias("vote_ratio"), "has_comments", "n_comments")
 
@@ -44,14 +49,15 @@ QUERIES = {
 
 _FEAT = f"""feat AS (
   SELECT d.id AS discussion_id,
-         CAST(CASE WHEN coalesce(c.n, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS depth,
+         CAST(greatest(CASE WHEN coalesce(c.n, 0) > 0 THEN 1 ELSE 0 END, coalesce(t.depth, 0)) AS BIGINT) AS depth,
          coalesce(c.ea, 0.0) AS expertise_avg,
          CAST(d.votes AS DOUBLE) / (coalesce(c.n, 0) + 1e-6) AS vote_ratio,
          coalesce(c.n, 0) > 0 AS has_comments,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_comments
   FROM discussions d LEFT JOIN (
-    SELECT discussion_id, count(*) AS n, avg({V.expertise_sql('expertise')}) AS ea
-    FROM comments GROUP BY discussion_id) c ON c.discussion_id = d.id)"""
+    SELECT discussion_id, count(*) AS n, avg(CASE WHEN expertise IS NOT NULL THEN {V.expertise_sql('expertise')} END) AS ea
+    FROM comments GROUP BY discussion_id) c ON c.discussion_id = d.id
+  LEFT JOIN (SELECT conv_id, max(turn) + 1 AS depth FROM conversations GROUP BY conv_id) t ON t.conv_id = d.id)"""
 
 ORACLE = {
     "thread_depth": """WITH RECURSIVE lv(conv_id, turn, level) AS (

@@ -5,14 +5,11 @@ batch read of the same files give the same rows."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions import text as T
 from agora.operators import domains as D
-from agora.session import ensure_checkpoint_dir
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,12 +29,10 @@ def cleaned_documents(spark: SparkSession, path: str, schema: str = DOC_SCHEMA,
     ).where(F.size("tokens") >= 5)
 
 
-def run_available_now(stream: DataFrame, sink_path: str, checkpoint: str | None = None) -> None:
-    """Process everything available (``availableNow``) into a parquet sink;
-    the checkpoint lives in the session's shared checkpoint folder, so a
-    restarted query resumes exactly once."""
-    spark = stream.sparkSession
-    ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = (stream.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", ck)
+def run_available_now(stream: DataFrame, sink_path: str, checkpoint: str) -> None:
+    """Process everything available (``availableNow``) into a parquet sink.
+    ``checkpoint`` is the query's own folder on shared storage: a restart with
+    the same folder resumes where the query ended, exactly once."""
+    q = (stream.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

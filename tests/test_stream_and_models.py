@@ -15,7 +15,9 @@ def test_stream_matches_batch(spark):
     src = tempfile.mkdtemp(prefix="agora-src-", dir="/tmp")
     spark.read.parquet(f"{SF}/documents.parquet").write.mode("overwrite").parquet(src + "/d")
     out = tempfile.mkdtemp(prefix="agora-out-", dir="/tmp") + "/sink"
-    run_available_now(cleaned_documents(spark, src + "/d"), out)
+    ck = tempfile.mkdtemp(prefix="agora-stream-", dir="/tmp")
+    run_available_now(cleaned_documents(spark, src + "/d"), out, ck)
+    run_available_now(cleaned_documents(spark, src + "/d"), out, ck)  # a restart adds nothing
     streamed = spark.read.parquet(out).select("doc_id", "clean")
     batch = spark.read.parquet(f"{SF}/documents.parquet").select(
         "doc_id", T.clean_text("text").alias("clean"), T.analysis_tokens("text").alias("t")).where(
