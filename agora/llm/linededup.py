@@ -9,9 +9,10 @@ document id, then place) stays; the others are removed after their bytes were
 compared with those of the kept one.  Single lines are never removed.
 
 Plan: chunk hashes are counted (map-side sums; a chunk that occurs in a third
-of all documents is one row per task), only repeated hashes are written; their
-kept texts are fetched, occurrences are joined to them by hash and compared,
-and the removals, a list of chunk numbers per document, are joined back once.
+of all documents is one row per task), only repeated hashes are written.  They
+are broadcast to the chunks if their row count is within a bound, else joined
+by a shuffle; the occurrences are joined to the kept ones by hash and their
+bytes compared, and the removals, a list of chunk numbers per document, are joined back once.
 All of it is DataFrame expressions; no Python runs on executors.
 
 Defined results: a null text stays null (0 lines); an empty text is one empty
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from agora.llm.common import freeze
 
 
+BROADCAST_ROWS = 1_000_000  # of a hash and an id: some 50 MB at most
+
+
 def line_hash(line: Column) -> Column:
     """31-bit line hash (first 32 bits of MD5, halved), plain in any SQL."""
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % F.lit(2147483647)
@@ -76,8 +80,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     first = F.min("id")
     counted = places.groupBy("hash").agg(first.alias("first_id"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("hash").alias("k"), "first_id")
     repeated = freeze(counted, "repeated")
-    # occurrences of repeated hashes, with their bytes
-    seen = freeze(chunks.join(repeated, chunks["hash"] == repeated["k"]).select("hash", "first_id", "id", "chunk", "n_lines", "body"), "occurrences")
+    # occurrences of repeated hashes, with their bytes; chunk texts are shuffled only beyond the bound
+    small = repeated.count() <= BROADCAST_ROWS
+    seen = freeze(chunks.join(F.broadcast(repeated) if small else repeated, chunks["hash"] == repeated["k"]).select("hash", "first_id", "id", "chunk", "n_lines", "body"), "occurrences")
     lead = seen.where("id = first_id").groupBy("hash").agg(F.min("chunk").alias("first_chunk")).select(F.col("hash").alias("g"), "first_chunk")
     kept = freeze(
         seen.where("id = first_id").join(lead, (F.col("hash") == F.col("g")) & (F.col("chunk") == F.col("first_chunk")))
