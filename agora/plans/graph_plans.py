@@ -115,9 +115,13 @@ def q_subgraph_stats(spark, sf) -> DataFrame:
     )
 
 
+STRONG = 300.0
+
+
 def q_components(spark, sf) -> DataFrame:
+    """Components of the users over their strong ties."""
     _, _, nodes, edges = _graph(spark, sf)
-    labels = G.weakly_connected_components(nodes, edges)
+    labels = G.weakly_connected_components(nodes, edges.where(F.col("weight") >= STRONG))
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).select(
         F.col("label").alias("component"), "size")
 
@@ -195,6 +199,6 @@ ORACLE = {
                      THEN (SELECT count(*) FROM sub) / ((SELECT count(*) FROM top) * ((SELECT count(*) FROM top) - 1.0))
                      ELSE 0.0 END, 6) AS density,
                (SELECT CAST(count(DISTINCT label) AS BIGINT) FROM labels) AS n_components"""),
-    "components": with_ctes(*GRAPH_CTES, _CC.replace("{E}", "edges").replace("{N}", "graph_nodes"), recursive=True,
+    "components": with_ctes(*GRAPH_CTES, _CC.replace("{E}", f"(SELECT * FROM edges WHERE weight >= {STRONG})").replace("{N}", "graph_nodes"), recursive=True,
                             body=f"SELECT label AS component, CAST(count(*) AS BIGINT) AS size FROM labels GROUP BY label"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from agora.functions.constants import EXPERTISE_RANKS, MEDAL_BOOST
 from agora.functions.lookups import sql_case
-from agora.sources.tables import EXPERTISE_CYCLE, MEDAL_CYCLE, REFERENCE_DATE, TAG_CYCLE
+from agora.sources.tables import EXPERTISE_CYCLE, MARKUP, MEDAL_CYCLE, REFERENCE_DATE, TAG_CYCLE
 
 
 def _cycle_sql(key: str, values: list) -> str:
@@ -20,6 +20,8 @@ def _cycle_sql(key: str, values: list) -> str:
     return f"(CASE {key} % {len(values)} {' '.join(parts)} END)"
 
 
+MARKED = "marked AS (SELECT doc_id, text || [" + ", ".join(f"'{m}'" for m in MARKUP) + f"][1 + doc_id % {len(MARKUP)}] AS text FROM documents)"
+
 DISCUSSIONS = f"""discussions AS (
   SELECT o_orderkey AS id, o_orderpriority AS title,
          'u' || CAST(o_custkey AS VARCHAR) AS "user",
@@ -32,7 +34,7 @@ DISCUSSIONS = f"""discussions AS (
 
 COMMENTS = f"""comments AS (
   SELECT l_orderkey AS discussion_id,
-         'u' || CAST(l_suppkey AS VARCHAR) AS "user",
+         (CASE WHEN l_suppkey % 4 = 0 THEN 'v' ELSE 'u' END) || CAST(l_suppkey AS VARCHAR) AS "user",
          CAST(trunc(l_quantity) AS INTEGER) - 5 AS votes,
          {_cycle_sql('l_suppkey', MEDAL_CYCLE)} AS medal,
          {_cycle_sql('l_suppkey', EXPERTISE_CYCLE)} AS expertise,
@@ -86,7 +88,7 @@ AUTHOR_NODES = """author_nodes AS (
          CAST(arg_max(n_comments, load_order) AS BIGINT) AS n_comments,
          CAST(arg_max(n_appreciation_comments, load_order) AS BIGINT) AS n_appreciations,
          0 AS kind, min(load_order) AS k1, CAST(0 AS BIGINT) AS k2, CAST(0 AS BIGINT) AS k3,
-         CAST(0 AS BIGINT) AS k4, 0.0 AS k5
+         CAST(0 AS BIGINT) AS k4, CAST(0 AS DOUBLE) AS k5
   FROM dwc GROUP BY "user")"""
 
 COMMENTER_NODES = """commenter_nodes AS (

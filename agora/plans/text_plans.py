@@ -26,7 +26,7 @@ def _docs(spark, sf):
 
 
 def q_clean_text(spark, sf) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", T.clean_text("text").alias("clean"))
+    return S.marked_documents(spark, sf).select("doc_id", T.clean_text("text").alias("clean"))
 
 
 def q_clean_html(spark, sf) -> DataFrame:
@@ -34,11 +34,11 @@ def q_clean_html(spark, sf) -> DataFrame:
 
 
 def q_clean_tuning(spark, sf) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", T.clean_text_tuning("text").alias("clean"))
+    return S.marked_documents(spark, sf).select("doc_id", T.clean_text_tuning("text").alias("clean"))
 
 
 def q_tech_phrases(spark, sf) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", T.tech_phrases("text").alias("phrased"))
+    return S.marked_documents(spark, sf).select("doc_id", T.tech_phrases("text").alias("phrased"))
 
 
 def _tok_out(c):
@@ -128,10 +128,10 @@ def _by_content(kw: str, title: str, content: str) -> str:
 
 
 ORACLE = {
-    "clean_text": f"SELECT doc_id, {T.clean_text_sql('text')} AS clean FROM documents",
+    "clean_text": with_ctes(V.MARKED, body=f"SELECT doc_id, {T.clean_text_sql('text')} AS clean FROM marked"),
     "clean_html": f"SELECT page_id, {T.clean_text_sql('html')} AS clean FROM pages",
-    "clean_tuning": f"SELECT doc_id, {T.clean_text_tuning_sql('text')} AS clean FROM documents",
-    "tech_phrases": f"SELECT doc_id, {T.tech_phrases_sql('text')} AS phrased FROM documents",
+    "clean_tuning": with_ctes(V.MARKED, body=f"SELECT doc_id, {T.clean_text_tuning_sql('text')} AS clean FROM marked"),
+    "tech_phrases": with_ctes(V.MARKED, body=f"SELECT doc_id, {T.tech_phrases_sql('text')} AS phrased FROM marked"),
     "tokens": f"SELECT doc_id, {_tok_sql(T.simple_tokens_sql('text'))} FROM documents",
     "tokens_accents": f"SELECT doc_id, {_tok_sql(T.simple_tokens_sql('text', deacc=False))} FROM documents",
     "stopword_filter": f"""SELECT doc_id, {_tok_sql(T.remove_stopwords_sql(T.simple_tokens_sql(T.tech_phrases_sql('text')), T.stopword_list('analysis')))} FROM documents""",

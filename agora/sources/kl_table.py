@@ -15,9 +15,10 @@ K_TOPICS = 4
 def content_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
-    raw = F.array((1 + k % 3).cast("double"), (1 + k % 5).cast("double"), (k % 7).cast("double"),
-                  (k % 2).cast("double"))
-    total = (1 + k % 3) + (1 + k % 5) + (k % 7) + (k % 2)
+    # every sixth document has one dominant topic, so all divergence bands occur
+    sharp = [F.when((k % 6 == 0) & (F.floor(k / 6) % 4 == i), F.lit(1000)).otherwise(F.lit(0)) for i in range(K_TOPICS)]
+    raw = F.array(*[(x + s).cast("double") for x, s in zip((1 + k % 3, 1 + k % 5, k % 7, k % 2), sharp)])
+    total = (1 + k % 3) + (1 + k % 5) + (k % 7) + (k % 2) + F.when(k % 6 == 0, F.lit(1000)).otherwise(F.lit(0))
     return d.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("doc "), k.cast("string")).alias("title"),
@@ -35,8 +36,9 @@ CONTENT_TOPICS_SQL = """content_topics AS (
          CASE WHEN doc_id % 4 = 0 THEN [lang, 'mixed'] ELSE [lang] END AS domains,
          CAST(n_chars % 97 - 20 AS BIGINT) AS votes, CAST(n_chars % 13 AS BIGINT) AS n_comments,
          CAST(n_chars % 5 AS BIGINT) AS depth,
-         list_transform([CAST(1 + doc_id % 3 AS DOUBLE), CAST(1 + doc_id % 5 AS DOUBLE), CAST(doc_id % 7 AS DOUBLE),
-                         CAST(doc_id % 2 AS DOUBLE)],
-                        lambda x: x / CAST((1 + doc_id % 3) + (1 + doc_id % 5) + (doc_id % 7) + (doc_id % 2) AS DOUBLE))
+         list_transform([CAST(1 + doc_id % 3 + s[1] AS DOUBLE), CAST(1 + doc_id % 5 + s[2] AS DOUBLE),
+                         CAST(doc_id % 7 + s[3] AS DOUBLE), CAST(doc_id % 2 + s[4] AS DOUBLE)],
+                        lambda x: x / CAST((1 + doc_id % 3) + (1 + doc_id % 5) + (doc_id % 7) + (doc_id % 2) + list_sum(s) AS DOUBLE))
            AS topic_dist
-  FROM documents)"""
+  FROM (SELECT *, [CASE WHEN doc_id % 6 = 0 AND (doc_id // 6) % 4 = i THEN 1000 ELSE 0 END for i in [0, 1, 2, 3]] AS s
+        FROM documents))"""

@@ -22,7 +22,8 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("partkey"),
         F.col("l_suppkey").alias("suppkey"),
         F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("user"),
-        (F.col("l_quantity").cast("int") - 5).cast("long").alias("votes"),
+        # a heavy tail: some parts draw hundreds of votes
+        (F.col("l_quantity").cast("int") - 5 + F.when(F.col("l_partkey") % 97 == 0, 500).otherwise(0)).cast("long").alias("votes"),
         F.col("l_linenumber").cast("long").alias("n_comments"),
         _cycle(F.col("l_suppkey"), EXPERTISE_CYCLE).cast("string").alias("expertise"),
         F.array(*[(F.col("l_quantity") % 7), (F.col("l_partkey") % 5).cast("double"),

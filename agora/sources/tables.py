@@ -44,6 +44,25 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
     return spread(df.select(*cols) if cols else df)
 
 
+#: Markup appended to the text of every seventh document, so that each
+#: cleaning step has something to do (index = doc_id modulo 7).
+MARKUP = [
+    " see https://x.org/a?b=1 now",
+    " ![](https://i.org/s.png) shot",
+    " run `x = 1` or ```a b``` here",
+    " @some_user wrote",
+    " Machine Learning and deep learning: neural networks",
+    " <b>bold</b> www.site.org end",
+    " [](http://i.org/t.png) plain",
+]
+
+
+def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` (doc_id, text) with the ``MARKUP`` appended."""
+    mark = F.get(F.array(*[F.lit(m) for m in MARKUP]), (F.col("doc_id") % len(MARKUP)).cast("int"))
+    return text_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat("text", mark).alias("text"))
+
+
 def _cycle(key: Column, values: list) -> Column:
     """CASE over ``key % len(values)``; literal, so it stays in codegen."""
     k = key % F.lit(len(values))
@@ -78,7 +97,8 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     return l.select(
         F.col("l_orderkey").alias("discussion_id"),
-        F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("user"),
+        # every fourth supplier is a user who only comments
+        F.concat(F.when(F.col("l_suppkey") % 4 == 0, "v").otherwise("u"), F.col("l_suppkey").cast("string")).alias("user"),
         (F.col("l_quantity").cast("int") - 5).alias("votes"),
         _cycle(F.col("l_suppkey"), MEDAL_CYCLE).cast("string").alias("medal"),
         _cycle(F.col("l_suppkey"), EXPERTISE_CYCLE).cast("string").alias("expertise"),
