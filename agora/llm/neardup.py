@@ -15,9 +15,10 @@ Plan:
    screened by set sizes and signature bits, and confirmed on the full sets of
    word shingles (not hashes);
 3. components of the confirmed links; buckets whose members already share a
-   component are done, in the others the pairs *between* components are
-   screened and confirmed as well; the screen also knows how many shingles of
-   a document no other one of these has, which bounds what a pair can share.  So every candidate pair is either tested
+   component are done; in the others the pairs *between* components are
+   screened and confirmed as well, block by block inside tasks (only links
+   come out, no pairs); the screen also knows how many shingles of a document
+   no other one of these has, which bounds what a pair can share.  So every candidate pair is either tested
    or inside one component: no candidate is capped and no group is expanded
    into all its pairs.
 
@@ -206,6 +207,79 @@ def _unshared(members: DataFrame, texts: DataFrame, method: MinMax, per_part: in
     return counted.groupBy("id").agg(F.sum("lone").alias("lone"))
 
 
+BLOCK = 1024  # rows of a bucket that one task compares with as many others
+
+
+def _links_between(rows: DataFrame, method: MinMax) -> DataFrame:
+    """Links ``a, b`` between components, of rows ``band, p, q, block, id,
+    label, n, lone, s0..s3, bands, text``: blocks ``p`` and ``q`` of a bucket
+    meet in one task.  A pair is looked at in the first band it shares; found
+    links join components at once, so pairs within one are not tested, and no
+    more links come out than components go in."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["band", "p", "q", "block", "id", "label", "n", "lone", "s0", "s1", "s2", "s3", "bands", "text"]
+    ordered = rows.select(*names).repartition(width, "band", "p", "q").sortWithinPartitions("band", "p", "q", "id")
+    k, percent, most_bits = method.shingle, method.percent, method.most_bits
+
+    def shingles(text):
+        w = words(text)
+        return {tuple(w)} if len(w) < k else set(zip(*(w[i:] for i in range(k))))
+
+    def links(group):
+        band, p, q = group[0][:3]
+        _, _, _, block, ids, labels, n, lone, s0, s1, s2, s3, bands, text = zip(*group)
+        block, n, lone = np.array(block), np.array(n, np.int64), np.array(lone, np.int64)
+        sketch = np.ascontiguousarray(np.array([s0, s1, s2, s3], np.int64).T).view(np.uint64)
+        keys = np.array(bands, np.int64)
+        place = int(np.flatnonzero(keys[0] == band)[0])
+        root = np.unique(np.array(labels), return_inverse=True)[1]
+        sets: dict[int, set] = {}
+        held = n - lone
+        for i in range(len(ids) - 1):
+            rest = slice(i + 1, None)
+            least = np.minimum(held[i], held[rest])
+            ok = (root[rest] != root[i]) & (100 * least >= percent * (n[i] + n[rest] - least))
+            if p != q:
+                ok &= block[rest] != block[i]
+            at = np.flatnonzero(ok) + i + 1
+            if at.size:
+                at = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1) <= most_bits]
+            if at.size:
+                at = at[(keys[at] == keys[i]).argmax(axis=1) == place]
+            for j in at:
+                if root[i] == root[j]:
+                    continue
+                for x in (i, j):
+                    if x not in sets:
+                        sets[x] = shingles(text[x])
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    yield ids[i], ids[j]
+                    root[root == root[j]] = root[i]
+
+    def run(batches):
+        group: list[tuple] = []
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.types[4]
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:3] != group[0][:3]:
+                    found += links(group)
+                    group = []
+                group.append(row)
+            yield _pair_batch(found, id_type)
+        if group:
+            yield _pair_batch(list(links(group)), id_type)
+
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _pair_batch(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], kind), pa.array([y for _, y in pairs], kind)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, method: MinMax = MinMax(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row."""
     sk = freeze(sketches(docs, method, key, text), "sketches")
@@ -249,17 +323,12 @@ def near_duplicates(docs: DataFrame, method: MinMax = MinMax(), key: str = "doc_
     )
     lone = freeze(_unshared(rest.select("id", "n").distinct(), texts, method), "unshared")
     held = rest.join(lone, "id").where((100 * (F.col("n") - F.col("lone")) >= method.percent * F.col("n")))
-    x, y = held.alias("x"), held.alias("y")
-    # no more than the shared shingles of either can be common
-    most = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
-    enough = 100 * most >= method.percent * (F.col("x.n") + F.col("y.n") - most)
-    between = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & enough & _alike(method, "x", "y"))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = freeze(_confirm(freeze(between, "pairs"), texts, method), "links")
+    per = held.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = held.join(per, "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    rows = dealt.join(signs.select("id", "bands"), "id").join(texts, "id")
+    more = freeze(_links_between(rows, method), "links")
     final = components(links.union(more)).select(F.col("id").alias("node"), "component")
     return (
         folded.select("id", "n", "rep")
