@@ -200,8 +200,13 @@ def write_archives(
         "payloads",
     )
     revisits = same.join(groups, F.col("sha") == F.col("s")).where("page_id <> first").select(F.col("page_id").alias("p"), "first").distinct()
-    # a bounded sample by hash order, made into a dictionary in one small task
-    sample = src.where("length(payload) > 0").select(F.xxhash64("payload").alias("h"), F.substring("payload", 1, sample_bytes).alias("s")).orderBy("h").limit(sample_rows)
+    # a bounded sample: hashes below a limit that lets about twice as many rows through, of those the
+    # smallest; so a task hands on a few rows, not sample_rows each, and one small task trains
+    total = pages.count()
+    share = 1 << 20
+    limit = share if total <= 2 * sample_rows else max(1, 2 * sample_rows * share // total)
+    hashed = src.where("length(payload) > 0").select(F.xxhash64("page_id", "payload").alias("h"), F.substring("payload", 1, sample_bytes).alias("s"))
+    sample = hashed.where(F.pmod(F.col("h"), F.lit(share)) < limit).orderBy("h").limit(sample_rows)
 
     def train(batches):
         samples = [s for b in batches for s in b.column(1).to_pylist()]
