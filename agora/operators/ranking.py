@@ -27,9 +27,9 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
     sorted_df = cut_lineage(sorted_df)
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select("_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_o"))
-    return sorted_df.join(F.broadcast(offsets), "_pid").withColumn(name, (F.col("_mid") + F.col("_o")).cast("long")).drop(
-        "_pid", "_mid", "_o"
+    offsets = counts.select("_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_rank_offset"))
+    return sorted_df.join(F.broadcast(offsets), "_pid").withColumn(name, (F.col("_mid") + F.col("_rank_offset")).cast("long")).drop(
+        "_pid", "_mid", "_rank_offset"
     )
 
 
@@ -38,9 +38,9 @@ def running_total(df: DataFrame, order: list[Column], amount: str, name: str) ->
     order, without a single-partition window (as ``global_row_number``)."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    sums = ranged.groupBy("_pid").agg(F.sum(amount).alias("_s"))
+    sums = ranged.groupBy("_pid").agg(F.sum(amount).alias("_rank_sum"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sums.select("_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    offsets = sums.select("_pid", F.coalesce(F.sum("_rank_sum").over(before), F.lit(0)).alias("_rank_offset"))
     inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return out.join(F.broadcast(offsets), "_pid").withColumn(name, F.col(name) + F.col("_o")).drop("_pid", "_mid", "_o")
+    return out.join(F.broadcast(offsets), "_pid").withColumn(name, F.col(name) + F.col("_rank_offset")).drop("_pid", "_mid", "_rank_offset")

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from agora.functions.divergence import densify
 from agora.operators import domains as D
-from agora.operators import structure as St
 from agora.plans import sql_views as V
 from agora.plans.common import R, r6, with_ctes
-from agora.plans.structure_plans import _FEAT
+from agora.plans.structure_plans import _FEAT, features
 from agora.plans.summary_plans import _D, dash
 from agora.session import ensure_checkpoint_dir
 from agora.sources import sinks as Sk
@@ -26,7 +25,7 @@ def q_discussion_features(spark, sf):
     """Discussions inner-joined with their feature rows; the
     feature side's comment count is renamed."""
     d = S.discussions(spark, sf)
-    f = St.feature_rows(d, S.comments(spark, sf)).withColumnRenamed("n_comments", "n_comments_features")
+    f = features(spark, sf).withColumnRenamed("n_comments", "n_comments_features")
     j = d.join(f, d.id == f.discussion_id, "inner")
     return j.select("id", "user", "votes", "depth", r6("expertise_avg").alias("expertise_avg"),
                     r6("vote_ratio").alias("vote_ratio"), "has_comments", "n_comments_features")

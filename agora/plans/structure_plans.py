@@ -29,13 +29,18 @@ def q_vote_ratio(spark, sf) -> DataFrame:
     return f.select("discussion_id", r6("vote_ratio").alias("vote_ratio"))
 
 
-def q_feature_rows(spark, sf) -> DataFrame:
-    """Depth (F1) over the comments (level 1) and the replies: a conversation
-    stands in for the reply thread of the discussion with its number."""
+def features(spark, sf) -> DataFrame:
+    """Feature rows with depth (F1) over the comments (level 1) and the
+    replies: a conversation stands in for the reply thread of the discussion
+    with its number."""
     d, c = S.discussions(spark, sf), S.comments(spark, sf)
     levels = c.select("discussion_id", F.lit(1).alias("level")).unionByName(
         St.node_levels(S.reply_edges(spark, sf), "conv_id", "turn", "parent_turn").select(F.col("conv_id").alias("discussion_id"), "level"))
-    f = St.feature_rows(d, c, St.thread_depth(d, "id", levels, "discussion_id"))
+    return St.feature_rows(d, c, St.thread_depth(d, "id", levels, "discussion_id"))
+
+
+def q_feature_rows(spark, sf) -> DataFrame:
+    f = features(spark, sf)
     return f.select("discussion_id", "depth", r6("expertise_avg").alias("expertise_avg"),
                     r6("vote_ratio").alias("vote_ratio"), "has_comments", "n_comments")
 
