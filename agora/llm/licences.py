@@ -7,8 +7,9 @@ normalised the same way: a document *is* a licence if its entire text matches,
 and *carries* the licences whose entire one-line notice is one of its lines.
 
 Plan: one scan writes a digest row per document and per line (texts are not
-shuffled); known digests are broadcast only if their table is small, else the
-join shuffles; matching lines, few, are summed up per document.
+shuffled); known digests are broadcast only if their table is small, and then
+lines of other digests are no rows at all; beyond the bound all lines are, and
+the join shuffles.  Matching lines, few, are summed up per document.
 
 Defined results: null, empty and blank texts, and texts of copyright lines
 only, have a null digest and no licence; repeated rows are scanned row by row;
@@ -59,12 +60,15 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
     return spark.createDataFrame([(bytearray(d), n) for d, n in rows if d], "digest binary, licence string")
 
 
-def unit_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``row, doc_id, line, digest``: line 0 is the whole text."""
+def unit_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: frozenset[bytes] | None = None) -> DataFrame:
+    """``row, doc_id, line, digest``: line 0 is the whole text.  With
+    ``wanted`` only lines of these digests are rows (whole texts always are)."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        keep = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -75,7 +79,7 @@ def unit_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                     digest.append(canonical_digest(t))
                     for n, own in enumerate((t or "").split("\n"), 1):
                         d = canonical_digest(own)
-                        if d:
+                        if d and (keep is None or d in keep):
                             at.append(i)
                             line.append(n)
                             digest.append(d)
@@ -93,8 +97,10 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, key: str = "d
     several licences are listed in order, separated by commas."""
     known = known if known is not None else known_digests(docs.sparkSession)
     names = known.groupBy(F.col("digest").alias("known")).agg(F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("licence"))
-    table = F.broadcast(names) if known.count() <= BROADCAST_ROWS else names
-    units = freeze(unit_digests(docs, key, text), "units")
+    small = known.count() <= BROADCAST_ROWS
+    table = F.broadcast(names) if small else names
+    wanted = frozenset(bytes(r["known"]) for r in names.select("known").collect()) if small else None
+    units = freeze(unit_digests(docs, key, text, wanted), "units")
     whole = units.where("line = 0").join(table, F.col("digest") == F.col("known"), "left").select(
         "row", "doc_id", F.lower(F.hex("digest")).alias("text_digest"), F.col("licence").alias("text_licence")
     )

@@ -33,6 +33,15 @@ def test_scan(spark):
     assert by[1].text_digest == by[2].text_digest == by[3].text_digest == hashlib.sha256(canonical(rows[0][1]).encode()).hexdigest()
 
 
+def test_join_beyond_the_bound(spark, monkeypatch):
+    from agora.llm import licences
+
+    docs = documents(spark)
+    near = sorted(map(tuple, scan_licences(docs).collect()), key=str)
+    monkeypatch.setattr(licences, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, scan_licences(docs).collect()), key=str) == near
+
+
 def test_own_table_and_ties(spark):
     known = known_digests(spark, [("A", "some text"), ("B", "Some  TEXT."), ("C", "")])
     got = scan_licences(documents(spark, [(1, "some text", "en", "s", 1)]), known).first()
