@@ -100,9 +100,13 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 2, divisor: int = 3, least: int = 2) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and
     ``removed_lines`` (named ``__n_lines`` and ``__removed_lines``)."""
-    gone = removals(docs, key, text, window, divisor, least).groupBy("id").agg(
-        F.collect_set("chunk").alias("__gone"), F.count(F.lit(1)).alias("__count")
-    ).select(F.col("id").alias("__id"), "__gone")
+    gone = removals(docs, key, text, window, divisor, least).groupBy("id").agg(F.collect_set(F.struct("chunk", "n_lines")).alias("__set"))
+    # the count of removed lines comes from the chunks, so a filter on it never evaluates the cleaned text
+    gone = gone.select(
+        F.col("id").alias("__id"),
+        F.transform("__set", lambda c: c["chunk"]).alias("__gone"),
+        F.aggregate("__set", F.lit(0).cast("long"), lambda n, c: n + c["n_lines"]).alias("__removed"),
+    )
     names = docs.columns
     h, ends = chunk_arrays(F.col("__lines"), window, divisor)
     start = lambda c: F.coalesce(F.get(F.col("__ends"), c - 1), F.lit(0)) + 1
@@ -121,5 +125,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     return cut.select(
         *[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names],
         n_lines.cast("long").alias("__n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(n_lines - F.size("__kept")).cast("long").alias("__removed_lines"),
+        F.coalesce("__removed", F.lit(0)).cast("long").alias("__removed_lines"),
     )
