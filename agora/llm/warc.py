@@ -236,9 +236,9 @@ def write_archives(
             system.move(temporary, final)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.warc.zst"]), pa.array([n], pa.int64()), pa.array([writer.offset], pa.int64())], names=["path", "records", "bytes"])
 
-    width = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the join's own partitions become the archives: page texts are shuffled once at most
     rows = src.join(revisits, F.col("page_id") == F.col("p"), "left").select("page_id", "url", "payload", "first")
-    dealt = rows.repartition(width, F.xxhash64("page_id", "url"))
+    dealt = rows.repartition(archives) if archives else rows
     return freeze(dealt.mapInArrow(write, "path string, records long, bytes long"), "manifest")
 
 
