@@ -20,11 +20,20 @@ line and stays; rows repeating an id are each other's repetitions only through
 their chunks: rows of one id are one document, whose first row by text stays
 (ids should be unique); rows without an id are kept as they are.  Only the
 named columns are read, all others pass through unchanged.
+
+``dedup_runs`` finds what the chunk bounds miss: every line is its own anchor.
+A line is a repeat if its bytes stand earlier (smaller document id, then
+place), two neighbouring lines hold together if the same two stand next to
+each other earlier; maximal runs of repeats that hold together go if they have
+at least ``least`` words, be it one line or a whole document.  The first
+occurrence of every line stays, so no line is lost from the table.  It finds
+whole equal lines only: not a passage that begins or ends inside a line, not a
+line of which one character differs, not a run below ``least`` words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.llm.common import freeze
@@ -127,3 +136,77 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
         n_lines.cast("long").alias("__n_lines"),
         F.coalesce("__removed", F.lit(0)).cast("long").alias("__removed_lines"),
     )
+
+
+def word_count(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, "[ \\t\\r\\f\\x0b]+"), lambda w: w != ""))
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+    """``id, t, lo, hi`` (line numbers from 1) of the runs to remove; ``t``, a
+    hash of the text, tells rows of one id apart."""
+    lines = (
+        docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+        .select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("t"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line"))
+        .withColumn("at", F.col("at") + 1)
+        .withColumn("hash", F.xxhash64("line"))
+    )
+    place = F.struct("id", "t", "at")
+    counted = lines.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    repeated = freeze(counted.select(F.col("hash").alias("k"), "first"), "repeated-lines")
+    small = repeated.count() <= BROADCAST_ROWS
+    seen = freeze(
+        lines.join(F.broadcast(repeated) if small else repeated, F.col("hash") == F.col("k")).select("hash", (place != F.col("first")).alias("later"), "id", "t", "at", "line"),
+        "line-occurrences",
+    )
+    # a line whose bytes differ from the first of its hash is no repeat
+    kept = seen.where("not later").dropDuplicates(["hash"]).select(F.col("hash").alias("k"), F.col("line").alias("kept_line"))
+    equal = (
+        seen.join(kept, F.col("hash") == F.col("k"))
+        .where(F.col("line") == F.col("kept_line"))
+        .select("id", "t", "at", "hash", "later", word_count(F.col("line")).alias("words"))
+        .dropDuplicates(["id", "t", "at"])
+    )
+    order = Window.partitionBy("id", "t").orderBy("at")
+    # neighbours: equal hashes are equal lines now
+    following = F.when(F.lead("at").over(order) == F.col("at") + 1, F.lead("hash").over(order))
+    pairs = freeze(equal.withColumn("following", following), "line-pairs")
+    twice = pairs.where(F.col("following").isNotNull()).groupBy("hash", "following").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    twice = freeze(twice.select(F.col("hash").alias("a"), F.col("following").alias("b"), "first"), "repeated-pairs")
+    small = twice.count() <= BROADCAST_ROWS
+    held = pairs.join(F.broadcast(twice) if small else twice, (F.col("hash") == F.col("a")) & (F.col("following") == F.col("b")), "left")
+    held = held.select("id", "t", "at", "words", "later", F.coalesce(place != F.col("first"), F.lit(False)).alias("holds"))
+    goes_on = (F.lag("at").over(order) == F.col("at") - 1) & F.lag("holds").over(order)
+    begins = F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
+    return (
+        held.where("later")
+        .withColumn("begins", begins)
+        .withColumn("run", F.sum("begins").over(order))
+        .groupBy("id", "t", "run")
+        .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("words").alias("words"))
+        .where(F.col("words") >= least)
+        .select("id", "t", "lo", "hi")
+    )
+
+
+def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+    """Like ``dedup_lines``, without the runs of ``repeated_runs``."""
+    gone = repeated_runs(docs, key, text, least).groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__runs"))
+    gone = gone.select(
+        F.col("id").alias("__id"),
+        F.col("t").alias("__t"),
+        "__runs",
+        F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"] + 1).alias("__removed"),
+    )
+    names = docs.columns
+    runs, lines = F.col("__runs"), F.col("__lines")
+    start = lambda k: F.coalesce(F.get(runs, k - 1)["hi"], F.lit(0)) + 1
+    stop = lambda k: F.coalesce(F.get(runs, k)["lo"], F.size(lines) + 1)
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: F.slice(lines, start(k), stop(k) - start(k))))
+    cut = docs.join(gone, (docs[key] == gone["__id"]) & (F.xxhash64(docs[text]) == gone["__t"]), "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
+    clean = F.when(runs.isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    return cut.select(
+        *[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names],
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("__n_lines"),
+        F.coalesce("__removed", F.lit(0)).cast("long").alias("__removed_lines"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm.common import table
-from agora.llm.linededup import dedup_lines
+from agora.llm.linededup import dedup_lines, dedup_runs
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +32,28 @@ select d.doc_id, coalesce(len(l.ls), 0)::bigint as n_lines, (coalesce(len(l.ls),
 from documents d left join l using (doc_id) left join kept using (doc_id)
 """
 
-QUERIES = {"op8_linededup": op8_linededup}
-ORACLE = {"op8_linededup": _SQL}
+
+def op8_lineruns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_runs(docs).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__removed_lines").alias("removed_lines"), "text")
+
+
+_RUNS_SQL = r"""
+with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+lines as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from l),
+a as (select *, row_number() over (partition by line order by doc_id, i) > 1 as later,
+             lead(line) over (partition by doc_id order by i) as following from lines),
+p as (select *, following is not null and row_number() over (partition by line, following order by doc_id, i) > 1 as holds from a),
+b as (select *, later and coalesce(lag(later and holds) over (partition by doc_id order by i), false) as goes_on from p),
+r as (select *, sum((not goes_on)::int) over (partition by doc_id order by i) as run,
+             len(regexp_extract_all(line, '[^ \t\r\f\v]+')) as words from b),
+s as (select *, sum(words) over (partition by doc_id, run) as run_words from r),
+kept as (select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as text
+         from s where not (later and run_words >= 50) group by doc_id)
+select d.doc_id, coalesce(len(l.ls), 0)::bigint as n_lines, (coalesce(len(l.ls), 0) - coalesce(kept.n, 0))::bigint as removed_lines,
+       case when d.text is null then null else coalesce(kept.text, '') end as text
+from documents d left join l using (doc_id) left join kept using (doc_id)
+"""
+
+QUERIES = {"op8_linededup": op8_linededup, "op8_lineruns": op8_lineruns}
+ORACLE = {"op8_linededup": _SQL, "op8_lineruns": _RUNS_SQL}

@@ -1,0 +1,103 @@
+from agora.llm.linededup import dedup_lines, dedup_runs
+from tests.llm.cases import SCHEMA, awkward, clashing, documents, prose
+from tests.llm.test_linededup import table
+
+
+def brute(rows, least=50):
+    """Rows (id, text) with unique ids."""
+    docs = sorted((i, t.split("\n")) for i, t in rows if i is not None and t is not None)
+    line, pair, later, holds = set(), set(), set(), set()
+    for i, ls in docs:
+        for k, x in enumerate(ls):
+            if x in line:
+                later.add((i, k))
+            line.add(x)
+            if k + 1 < len(ls):
+                if (x, ls[k + 1]) in pair:
+                    holds.add((i, k))
+                pair.add((x, ls[k + 1]))
+    out = {}
+    for i, ls in docs:
+        runs = []
+        for k in range(len(ls)):
+            if (i, k) not in later:
+                continue
+            if runs and runs[-1][-1] == k - 1 and (i, k - 1) in holds:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        gone = {k for r in runs if sum(len(ls[k].split()) for k in r) >= least for k in r}
+        out[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
+    return out
+
+
+def one_line(seed, n):
+    return prose(seed, n).replace("\n", " ")
+
+
+def test_brute_force(spark):
+    rows = [r for r in table() if r[0] != 17]
+    want = brute([r[:2] for r in rows])
+    docs = clashing(documents(spark, rows))
+    got = dedup_runs(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    texts = {r[0]: r[1] for r in rows if r[0] is not None}
+    n = 0
+    for r in got.collect():
+        if r.doc_id is None or texts[r.doc_id] is None:
+            assert r["__removed_lines"] == 0
+            continue
+        assert r.text == want[r.doc_id]
+        assert r["__n_lines"] == texts[r.doc_id].count("\n") + 1
+        n += r["__removed_lines"]
+    assert n > 50
+
+
+def planted():
+    """Passages of 1 to 6 lines, over 50 words each, in two documents each with
+    other lines around them; a short one that stays."""
+    rows, passages = [], {}
+    for k in range(60):
+        n = k % 6 + 1
+        passages[k] = "\n".join(one_line(5000 + 10 * k + j, 60 // n + 1) for j in range(n))
+        for copy in (0, 1):
+            own = [one_line(9000 + 8 * k + 4 * copy + j, 12) for j in range(4)]
+            rows.append((1 + k + 1000 * copy, "\n".join(own[:2] + [passages[k]] + own[2:]), "en", "s", 1))
+    short = one_line(77, 20)
+    rows += [(3000 + c, one_line(78 + c, 9) + "\n" + short, "en", "s", 1) for c in (0, 1)]
+    return rows, passages
+
+
+def test_planted_passages(spark):
+    rows, passages = planted()
+    got = {r.doc_id: r.text for r in dedup_runs(documents(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for k, p in passages.items():
+        assert got[1 + k] == texts[1 + k]
+        assert got[1001 + k] == texts[1001 + k].replace(p + "\n", "")
+    assert all(got[i] == texts[i] for i in (3000, 3001))
+    # the chunks leave most of them
+    chunked = {r.doc_id: r.text for r in dedup_lines(documents(spark, rows)).collect()}
+    assert sum(p in chunked[1001 + k] for k, p in passages.items()) > len(passages) / 2
+
+
+def test_no_line_is_lost_and_whole_copies_go(spark):
+    rows = [r for r in awkward() if r[0] is not None and r[1]] + [(9000, prose(15, 30_000), "en", "s", 1)]
+    got = dedup_runs(documents(spark, rows)).collect()
+    lines = {x for r in got for x in r.text.split("\n")}
+    assert {x for r in rows for x in r[1].split("\n")} <= lines | {""}
+    whole = {r.doc_id for r in got if r["__removed_lines"] == r["__n_lines"]}
+    assert {2, 9000} <= whole and not whole & {1, 15}
+
+
+def test_rows_of_one_id_and_empty_table(spark):
+    a, b = one_line(1, 80), one_line(2, 80)
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b + "\n" + a, "en", "s", 1)]
+    got = sorted(r.text for r in dedup_runs(documents(spark, rows)).collect())
+    assert got in (sorted([a, a, b]), sorted(["", "", b + "\n" + a]))  # the smaller place stays
+    assert dedup_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_no_python_on_executors(spark):
+    plan = dedup_runs(documents(spark))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
