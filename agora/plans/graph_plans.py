@@ -126,6 +126,14 @@ def q_components(spark, sf) -> DataFrame:
         F.col("label").alias("component"), "size")
 
 
+def q_components_all(spark, sf) -> DataFrame:
+    """Components of the users over all ties."""
+    _, _, nodes, edges = _graph(spark, sf)
+    labels = G.weakly_connected_components(nodes, edges)
+    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).select(
+        F.col("label").alias("component"), "size")
+
+
 QUERIES = {
     "edge_weights": q_edge_weights,
     "edges": q_edges,
@@ -138,6 +146,7 @@ QUERIES = {
     "top_subgraph": q_top_subgraph,
     "subgraph_stats": q_subgraph_stats,
     "components": q_components,
+    "components_all": q_components_all,
 }
 
 _TOP = f"""top AS (SELECT g.node, p.pagerank FROM graph_nodes g JOIN pr p USING (node)
@@ -201,4 +210,6 @@ ORACLE = {
                (SELECT CAST(count(DISTINCT label) AS BIGINT) FROM labels) AS n_components"""),
     "components": with_ctes(*GRAPH_CTES, _CC.replace("{E}", f"(SELECT * FROM edges WHERE weight >= {STRONG})").replace("{N}", "graph_nodes"), recursive=True,
                             body=f"SELECT label AS component, CAST(count(*) AS BIGINT) AS size FROM labels GROUP BY label"),
+    "components_all": with_ctes(*GRAPH_CTES, _CC.replace("{E}", "edges").replace("{N}", "graph_nodes"), recursive=True,
+                                body="SELECT label AS component, CAST(count(*) AS BIGINT) AS size FROM labels GROUP BY label"),
 }
