@@ -8,6 +8,7 @@ from agora.llm import (
     htmltext_queries,
     licences_queries,
     linededup_queries,
+    linerules_queries,
     neardup_queries,
     packing_queries,
     ppm_queries,
@@ -27,6 +28,7 @@ _MODULES = [
     linededup_queries,
     neardup_queries,
     quality_queries,
+    linerules_queries,
 ]
 
 
