@@ -55,11 +55,15 @@ def thread_depth(discussion_ids: DataFrame, id_col: str, levels: DataFrame, key:
 
 def comment_stats(comments: DataFrame) -> DataFrame:
     """F2 + F5 per discussion over top-level comments (deleted included):
-    count and mean expertise rank over the comments that have the attribute
-    (an unknown rank counts as 0, an absent one does not count)."""
+    count and mean expertise rank over the comments that have the attribute.
+    An unknown or null rank counts as 0; where ``has_expertise`` tells that the
+    key itself is absent, the comment does not count."""
+    rank = expertise_rank(F.col("expertise"))
+    if "has_expertise" in comments.columns:
+        rank = F.when(F.col("has_expertise"), rank)
     return comments.groupBy("discussion_id").agg(
         F.count(F.lit(1)).alias("n_comments"),
-        F.avg(F.when(F.col("expertise").isNotNull(), expertise_rank(F.col("expertise")))).alias("expertise_avg"),
+        F.avg(rank).alias("expertise_avg"),
     )
 
 
