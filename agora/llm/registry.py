@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from agora.llm import (
+    blockrank_queries,
     decontaminate_queries,
     htmltext_queries,
     licences_queries,
@@ -29,6 +30,7 @@ _MODULES = [
     neardup_queries,
     quality_queries,
     linerules_queries,
+    blockrank_queries,
 ]
 
 
