@@ -15,6 +15,7 @@ from agora.llm import (
     ppm_queries,
     prefixhash_queries,
     quality_queries,
+    variants_queries,
     warc_queries,
 )
 
@@ -30,6 +31,7 @@ _MODULES = [
     neardup_queries,
     quality_queries,
     linerules_queries,
+    variants_queries,
     blockrank_queries,
 ]
 
