@@ -1,212 +1,182 @@
 """Line dedup by content-defined chunks of lines.
 
 Lines are hashed; a rolling hash over the last ``window`` line hashes marks a
-chunk end wherever it is 0 modulo ``divisor``, so the bounds depend on the
-lines around them only: inserting or removing lines elsewhere in a document
-does not shift the chunks of a shared passage.  Of every chunk of at least
-``least`` lines that occurs more than once anywhere, the first occurrence (by
-document id, then place) stays; the others are removed after their bytes were
-compared with those of the kept one.  Single lines are never removed.
+chunk end wherever it is 0 modulo a divisor that falls with the line's words
+(``density`` words a bound on average, a longer line always ends a chunk); a
+line of ``least`` words or more begins one, too.  So
+the bounds depend on the lines around them only: inserting or removing lines
+elsewhere in a document does not shift the chunks of a shared passage.
+
+Chunks of at least ``anchor`` words that occur more than once anywhere are
+anchors.  Every later occurrence (by document id, then text, then place) is
+compared with the first one byte by byte and extended over equal lines of the
+chunks before both (as many as ``window``: so far the line before a passage
+can move its bounds) and of the one after both.  Stretches of a document that overlap are one
+run; runs of at least ``least`` words go, be they one line or a whole
+document.  Every removed line stands at an earlier place, so the first
+occurrence of a line always stays.
+
+It finds whole equal lines only: not a passage that begins or ends inside a
+line, not a line of which one character differs, not a run below ``least``
+words, and not a passage whose chunks each stood first somewhere else.
 
 Plan: chunk hashes are counted (map-side sums; a chunk that occurs in a third
 of all documents is one row per task), only repeated hashes are written.  They
 are broadcast to the chunks if their row count is within a bound, else joined
-by a shuffle; the occurrences are joined to the kept ones by hash and their
-bytes compared, and the removals, a list of chunk numbers per document, are joined back once.
-All of it is DataFrame expressions; no Python runs on executors.
+by a shuffle; the occurrences are joined to the first ones by hash, and the
+runs, a list per document, are joined back once.  All of it is DataFrame
+expressions; no Python runs on executors.
 
 Defined results: a null text stays null (0 lines); an empty text is one empty
-line and stays; rows repeating an id are each other's repetitions only through
-their chunks: rows of one id are one document, whose first row by text stays
-(ids should be unique); rows without an id are kept as they are.  Only the
-named columns are read, all others pass through unchanged.
-
-``dedup_runs`` finds what the chunk bounds miss: every line is its own anchor.
-A line is a repeat if its bytes stand earlier (smaller document id, then
-place), two neighbouring lines hold together if the same two stand next to
-each other earlier; maximal runs of repeats that hold together go if they have
-at least ``least`` words, be it one line or a whole document.  The first
-occurrence of every line stays, so no line is lost from the table.  It finds
-whole equal lines only: not a passage that begins or ends inside a line, not a
-line of which one character differs, not a run below ``least`` words.
+line and stays; rows repeating an id are told apart by their texts, equal rows
+of one id are one document (both stay or lose the same lines); rows without an
+id are kept as they are.  Only the named columns are read, all others pass
+through unchanged.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.llm.common import freeze
 
 
-BROADCAST_ROWS = 1_000_000  # of a hash and an id: some 50 MB at most
-
+BROADCAST_ROWS = 1_000_000  # of a hash and a place: some 50 MB at most
+WORD = r"[^ \t\r\f\x0b]+"
 
-def line_hash(line: Column) -> Column:
-    """31-bit line hash (first 32 bits of MD5, halved), plain in any SQL."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % F.lit(2147483647)
 
+@dataclass(frozen=True)
+class Chunks:
+    """Sizes in words, but for ``window`` (lines) and ``most`` (percent): a
+    document that would lose ``most`` or more of its words, but not all, stays
+    whole (below 100: for pipelines that judge whole documents afterwards)."""
 
-def chunk_arrays(lines: Column, window: int, divisor: int) -> tuple[Column, Column]:
-    """First and last line numbers (from 1) of the chunks of ``lines``."""
-    h = F.transform(lines, line_hash)
+    window: int = 2
+    density: int = 12
+    anchor: int = 8
+    least: int = 50
+    most: int = 100
 
-    def roll(i: Column) -> Column:
-        value = F.lit(0).cast("long")
-        for back in range(window - 1, -1, -1):
-            value = (value * 1000003 + F.coalesce(F.get(F.col("__h"), i - 1 - back), F.lit(0))) % F.lit(2147483647)
-        return value
 
-    n = F.size("__h")
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (roll(i) % divisor == 0))
-    return h, ends
+def line_hash(line: Column) -> Column:
+    """31-bit line hash (first 32 bits of MD5, halved), plain in any SQL."""
+    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % F.lit(2147483647)
 
 
-def line_chunks(docs: DataFrame, key: str, text: str, window: int = 2, divisor: int = 3) -> DataFrame:
-    """``id, chunk, n_lines, body`` of every chunk of every document."""
-    h, ends = chunk_arrays(F.col("__lines"), window, divisor)
+def word_count(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(WORD))
+
+
+def rolled(hashes: str, at: Column, window: int) -> Column:
+    """Rolling hash of the ``window`` lines up to line number ``at`` (from 1)."""
+    value = F.lit(0).cast("long")
+    for back in range(window - 1, -1, -1):
+        value = (value * 1000003 + F.coalesce(F.get(F.col(hashes), at - 1 - back), F.lit(0))) % F.lit(2147483647)
+    return value
+
+
+def line_chunks(docs: DataFrame, key: str, text: str, setup: Chunks, beside: bool) -> DataFrame:
+    """``id, t, chunk, lo, hi, body`` of every chunk with enough words of every
+    document: ``t`` a hash of the text, ``lo, hi`` its line numbers (from 1).
+    ``beside`` adds the lines of the chunks ``before`` and ``after``, null at the ends."""
+    n = F.size("__lines")
+    many = lambda i: F.get(F.col("__words"), i - 1)
+    divisor = lambda i: F.greatest(F.lit(1), F.ceil(F.lit(setup.density) / F.greatest(F.lit(1), many(i))))
+    is_end = lambda i: (i == n) | (many(i + 1) >= setup.least) | (rolled("__h", i, setup.window) % divisor(i) == 0)
+    ends = F.filter(F.sequence(F.lit(1), n), is_end)
     cut = (
         docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(key).alias("id"), F.split(F.col(text), "\n", -1).alias("__lines"))
-        .select("id", "__lines", h.alias("__h"))
-        .select("id", "__lines", ends.alias("__ends"))
+        .select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("t"), F.split(F.col(text), "\n", -1).alias("__lines"))
+        .select("id", "t", "__lines", F.transform("__lines", line_hash).alias("__h"), F.transform("__lines", word_count).alias("__words"))
+        .select("id", "t", "__lines", "__words", ends.alias("__ends"))
     )
     # the chunks are built as one array: exploded rows then carry a chunk each, not the whole document
-    lines, bounds = F.col("__lines"), F.col("__ends")
+    bounds = F.col("__ends")
     start = lambda c: F.coalesce(F.get(bounds, c - 1), F.lit(0)) + 1
-    many = lambda c: F.get(bounds, c) - start(c) + 1
-    rows = F.transform(
-        F.sequence(F.lit(0), F.size("__ends") - 1),
-        lambda c: F.struct(c.alias("chunk"), many(c).alias("n_lines"), F.array_join(F.slice(lines, start(c), many(c)), "\n").alias("body")),
-    )
-    return cut.select("id", F.inline(rows))
-
-
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 2, divisor: int = 3, least: int = 2) -> DataFrame:
-    """``id, chunk, n_lines`` of the chunks to remove."""
-    chunks = line_chunks(docs, key, text, window, divisor).where(F.col("n_lines") >= least).withColumn("hash", F.xxhash64("body"))
-    places = chunks.select("hash", "id", "chunk")
-    first = F.min("id")
-    counted = places.groupBy("hash").agg(first.alias("first_id"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("hash").alias("k"), "first_id")
-    repeated = freeze(counted, "repeated")
+    span = lambda c: F.get(bounds, c) - start(c) + 1
+    body = lambda c: F.array_join(F.slice("__lines", start(c), span(c)), "\n")
+    words = lambda c: F.aggregate(F.slice("__words", start(c), span(c)), F.lit(0), lambda a, w: a + w)
+    last = F.size(bounds) - 1
+    numbers = F.filter(F.sequence(F.lit(0), last), lambda c: words(c) >= setup.anchor)
+    ahead = lambda c: F.slice("__lines", start(F.greatest(F.lit(0), c - setup.window)), start(c) - start(F.greatest(F.lit(0), c - setup.window)))
+    sides = lambda c: [F.when(c > 0, F.array_join(ahead(c), "\n")).alias("before"), F.when(c < last, body(c + 1)).alias("after")] if beside else []
+    rows = F.transform(numbers, lambda c: F.struct(c.alias("chunk"), start(c).alias("lo"), F.get(bounds, c).alias("hi"), body(c).alias("body"), *sides(c)))
+    return cut.select("id", "t", F.inline(rows))
+
+
+def equal_lines(a: Column, b: Column) -> Column:
+    """How many leading entries two arrays share (0 for null)."""
+    most = F.least(F.size(a), F.size(b))
+    count = F.aggregate(F.sequence(F.lit(1), most), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.get(a, i - 1) == F.get(b, i - 1)), i).otherwise(n))
+    return F.when(a.isNotNull() & b.isNotNull(), count).otherwise(0)
+
+
+def repeated_runs(docs: DataFrame, key: str, text: str, setup: Chunks) -> DataFrame:
+    """``id, t, lo, hi`` of the maximal runs of repeated lines, of any size."""
+    place = F.struct("id", "t", "chunk")
+    counted = line_chunks(docs, key, text, setup, beside=False).groupBy(F.xxhash64("body").alias("k")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    repeated = freeze(counted.where("c > 1").select("k", "first"), "repeated")
     # occurrences of repeated hashes, with their bytes; chunk texts are shuffled only beyond the bound
     small = repeated.count() <= BROADCAST_ROWS
-    seen = freeze(chunks.join(F.broadcast(repeated) if small else repeated, chunks["hash"] == repeated["k"]).select("hash", "first_id", "id", "chunk", "n_lines", "body"), "occurrences")
-    lead = seen.where("id = first_id").groupBy("hash").agg(F.min("chunk").alias("first_chunk")).select(F.col("hash").alias("g"), "first_chunk")
+    chunks = line_chunks(docs, key, text, setup, beside=True).withColumn("hash", F.xxhash64("body"))
+    seen = freeze(
+        chunks.join(F.broadcast(repeated) if small else repeated, F.col("hash") == F.col("k")).select("hash", (place != F.col("first")).alias("later"), "id", "t", "lo", "hi", "body", "before", "after"),
+        "occurrences",
+    )
     kept = freeze(
-        seen.where("id = first_id").join(lead, (F.col("hash") == F.col("g")) & (F.col("chunk") == F.col("first_chunk")))
-        .dropDuplicates(["hash"])
-        .select(F.col("hash").alias("k"), "first_chunk", F.col("body").alias("kept_body")),
+        seen.where("not later").dropDuplicates(["hash"]).select(F.col("hash").alias("k"), *[F.col(c).alias(f"kept_{c}") for c in ("body", "before", "after")]),
         "kept",
     )
-    return (
-        seen.join(kept, F.col("hash") == F.col("k"))
-        .where((F.col("body") == F.col("kept_body")) & ~((F.col("id") == F.col("first_id")) & (F.col("chunk") == F.col("first_chunk"))))
-        .select("id", "chunk", "n_lines")
+    split = lambda c: F.split(F.col(c), "\n", -1)
+    back = equal_lines(F.reverse(split("before")), F.reverse(split("kept_before")))
+    forth = equal_lines(split("after"), split("kept_after"))
+    equal = (
+        seen.where("later").join(kept, F.col("hash") == F.col("k")).where(F.col("body") == F.col("kept_body"))
+        .select("id", "t", (F.col("lo") - back).alias("lo"), (F.col("hi") + forth).alias("hi"))
+        .groupBy("id", "t", "lo").agg(F.max("hi").alias("hi"))
     )
-
-
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 2, divisor: int = 3, least: int = 2) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and
-    ``removed_lines`` (named ``__n_lines`` and ``__removed_lines``)."""
-    gone = removals(docs, key, text, window, divisor, least).groupBy("id").agg(F.collect_set(F.struct("chunk", "n_lines")).alias("__set"))
-    # the count of removed lines comes from the chunks, so a filter on it never evaluates the cleaned text
-    gone = gone.select(
-        F.col("id").alias("__id"),
-        F.transform("__set", lambda c: c["chunk"]).alias("__gone"),
-        F.aggregate("__set", F.lit(0).cast("long"), lambda n, c: n + c["n_lines"]).alias("__removed"),
+    order = Window.partitionBy("id", "t").orderBy("lo")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("lo") <= F.col("reached"), 0).otherwise(1)
+    runs = equal.withColumn("reached", reached).withColumn("run", F.sum(begins).over(order))
+    return runs.groupBy("id", "t", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("id", "t", "lo", "hi")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", setup: Chunks = Chunks()) -> DataFrame:
+    """All columns of ``docs`` with ``text`` cleaned, plus ``__n_lines``,
+    ``__removed_lines``, ``__removed_words`` and ``__left_words`` (0 where
+    nothing is removed)."""
+    gone = (
+        repeated_runs(docs, key, text, setup)
+        .groupBy(F.col("id").alias("__id"), F.col("t").alias("__t"))
+        .agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__runs"))
     )
-    names = docs.columns
-    h, ends = chunk_arrays(F.col("__lines"), window, divisor)
-    start = lambda c: F.coalesce(F.get(F.col("__ends"), c - 1), F.lit(0)) + 1
-    part = lambda c: F.slice(F.col("__lines"), start(c), F.get(F.col("__ends"), c) - start(c) + 1)
-    left = F.filter(F.sequence(F.lit(0), F.size("__ends") - 1), lambda c: ~F.array_contains(F.col("__gone"), c))
+    names, lines, runs = docs.columns, F.col("__lines"), F.col("__long")
+    part = lambda lo, hi: F.slice(lines, lo, hi - lo + 1)
+    words = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + word_count(x))
+    start = lambda k: F.coalesce(F.get(runs, k - 1)["hi"], F.lit(0)) + 1
+    stop = lambda k: F.coalesce(F.get(runs, k)["lo"], F.size(lines) + 1) - 1
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: part(start(k), stop(k))))
+    long = F.filter(F.col("__runs"), lambda r: words(part(r["lo"], r["hi"])) >= setup.least)
     cut = (
-        docs.join(gone, docs[key] == gone["__id"], "left")
+        docs.join(gone, (docs[key] == gone["__id"]) & (F.xxhash64(docs[text]) == gone["__t"]), "left")
         .withColumn("__lines", F.split(F.col(text), "\n", -1))
-        .withColumn("__h", F.when(F.col("__gone").isNotNull(), h))
-        .withColumn("__ends", F.when(F.col("__gone").isNotNull(), ends))
-        .withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.flatten(F.transform(left, part))))
+        .withColumn("__long", long)
+        .withColumn("__left", F.when(F.size(runs) > 0, left))
     )
-    n_lines = F.coalesce(F.size("__lines"), F.lit(0))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(n_lines)
-    clean = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    return cut.select(
-        *[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        n_lines.cast("long").alias("__n_lines"),
-        F.coalesce("__removed", F.lit(0)).cast("long").alias("__removed_lines"),
-    )
-
-
-def word_count(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, "[ \\t\\r\\f\\x0b]+"), lambda w: w != ""))
-
-
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
-    """``id, t, lo, hi`` (line numbers from 1) of the runs to remove; ``t``, a
-    hash of the text, tells rows of one id apart."""
-    lines = (
-        docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("t"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("at", "line"))
-        .withColumn("at", F.col("at") + 1)
-        .withColumn("hash", F.xxhash64("line"))
-    )
-    place = F.struct("id", "t", "at")
-    counted = lines.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    repeated = freeze(counted.select(F.col("hash").alias("k"), "first"), "repeated-lines")
-    small = repeated.count() <= BROADCAST_ROWS
-    seen = freeze(
-        lines.join(F.broadcast(repeated) if small else repeated, F.col("hash") == F.col("k")).select("hash", (place != F.col("first")).alias("later"), "id", "t", "at", "line"),
-        "line-occurrences",
-    )
-    # a line whose bytes differ from the first of its hash is no repeat
-    kept = seen.where("not later").dropDuplicates(["hash"]).select(F.col("hash").alias("k"), F.col("line").alias("kept_line"))
-    equal = (
-        seen.join(kept, F.col("hash") == F.col("k"))
-        .where(F.col("line") == F.col("kept_line"))
-        .select("id", "t", "at", "hash", "later", word_count(F.col("line")).alias("words"))
-        .dropDuplicates(["id", "t", "at"])
-    )
-    order = Window.partitionBy("id", "t").orderBy("at")
-    # neighbours: equal hashes are equal lines now
-    following = F.when(F.lead("at").over(order) == F.col("at") + 1, F.lead("hash").over(order))
-    pairs = freeze(equal.withColumn("following", following), "line-pairs")
-    twice = pairs.where(F.col("following").isNotNull()).groupBy("hash", "following").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    twice = freeze(twice.select(F.col("hash").alias("a"), F.col("following").alias("b"), "first"), "repeated-pairs")
-    small = twice.count() <= BROADCAST_ROWS
-    held = pairs.join(F.broadcast(twice) if small else twice, (F.col("hash") == F.col("a")) & (F.col("following") == F.col("b")), "left")
-    held = held.select("id", "t", "at", "words", "later", F.coalesce(place != F.col("first"), F.lit(False)).alias("holds"))
-    goes_on = (F.lag("at").over(order) == F.col("at") - 1) & F.lag("holds").over(order)
-    begins = F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
-    return (
-        held.where("later")
-        .withColumn("begins", begins)
-        .withColumn("run", F.sum("begins").over(order))
-        .groupBy("id", "t", "run")
-        .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("words").alias("words"))
-        .where(F.col("words") >= least)
-        .select("id", "t", "lo", "hi")
-    )
-
-
-def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
-    """Like ``dedup_lines``, without the runs of ``repeated_runs``."""
-    gone = repeated_runs(docs, key, text, least).groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__runs"))
-    gone = gone.select(
-        F.col("id").alias("__id"),
-        F.col("t").alias("__t"),
-        "__runs",
-        F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"] + 1).alias("__removed"),
-    )
-    names = docs.columns
-    runs, lines = F.col("__runs"), F.col("__lines")
-    start = lambda k: F.coalesce(F.get(runs, k - 1)["hi"], F.lit(0)) + 1
-    stop = lambda k: F.coalesce(F.get(runs, k)["lo"], F.size(lines) + 1)
-    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: F.slice(lines, start(k), stop(k) - start(k))))
-    cut = docs.join(gone, (docs[key] == gone["__id"]) & (F.xxhash64(docs[text]) == gone["__t"]), "left").withColumn("__lines", F.split(F.col(text), "\n", -1))
-    clean = F.when(runs.isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    removed = F.aggregate(runs, F.lit(0), lambda n, r: n + r["hi"] - r["lo"] + 1)
+    out = F.aggregate(runs, F.lit(0), lambda n, r: n + words(part(r["lo"], r["hi"])))
+    some = F.col("__left").isNotNull()
+    if setup.most < 100:
+        stays = words(F.col("__left"))
+        some = some & ((stays == 0) | (100 * out < setup.most * (out + stays)))
     return cut.select(
-        *[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names],
+        *[F.when(some, F.array_join("__left", "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in names],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("__n_lines"),
-        F.coalesce("__removed", F.lit(0)).cast("long").alias("__removed_lines"),
+        F.when(some, removed).otherwise(0).cast("long").alias("__removed_lines"),
+        F.when(some, out).otherwise(0).cast("long").alias("__removed_words"),
+        F.when(some, words(F.col("__left"))).otherwise(0).cast("long").alias("__left_words"),
     )
