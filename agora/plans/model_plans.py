@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from agora.functions import constants as K
 from agora.functions import text as T
 from agora.operators import cluster as C
+from agora.operators import discussion_models as DM
 from agora.operators import domains as D
 from agora.operators import models as M
+from agora.operators import phrases as P
 from agora.operators import quality as Q
 from agora.plans import sql_views as V
 from agora.plans import text_plans as TP
@@ -133,7 +135,34 @@ def q_lda_tuning(spark, sf):
     return M.flatten_tuning(spark, best, cv, bow)
 
 
+def q_discussion_topics(spark, sf):
+    """M1-M3: one four-topic model per document over its phrased tokens."""
+    t = DM.discussion_topics(P.phrase_tokens(_docs_tokens(spark, sf), "doc_id", "toks"), "doc_id", "phrased")
+    return t.select("doc_id", F.array_join(F.transform("topics", lambda x: DM.format_terms(x["terms"])), " || ").alias("topics"),
+                    F.transform(DM.listed(F.col("topic_dist")), lambda p: F.round(p, 6)).alias("topic_dist"))
+
+
+def q_discussion_tuning(spark, sf):
+    """The best of the drawn models of every document, flattened."""
+    d = S.text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", T.tuning_tokens("text").alias("toks"))
+    phrased = P.phrase_tokens(d.where(F.size("toks") >= 5), "doc_id", "toks")
+    return DM.flatten_topics(cut_lineage(DM.tune_discussions(phrased, "doc_id", "phrased", TUNING_CANDIDATES)), "doc_id")
+
+
+def q_topic_format(spark, sf):
+    """M2: the five most frequent tokens of every document with their shares,
+    formatted like a topic."""
+    n = S.text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.explode(T.simple_tokens("text")).alias("term"))
+    n = n.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("doc_id").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))).alias("t"))
+    terms = F.transform(F.slice("t", 1, 5), lambda x: F.struct(x["term"].alias("term"), (-x["n"] / F.col("total")).alias("w")))
+    return total.select("doc_id", DM.format_terms(terms).alias("terms"))
+
+
 QUERIES = {
+    "discussion_topics": q_discussion_topics,
+    "discussion_tuning": q_discussion_tuning,
+    "topic_format": q_topic_format,
     "lda_tuning": q_lda_tuning,
     "weight_search": q_weight_search,
     "weight_comparison": q_weight_comparison,
@@ -158,6 +187,13 @@ def _label_sql(k: int) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "topic_format": f"""
+        WITH tk AS (SELECT doc_id, unnest({T.simple_tokens_sql("text")}) AS term FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, term, count(*) AS n FROM tk GROUP BY doc_id, term),
+        s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total,
+                     row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rk FROM n)
+        SELECT doc_id, string_agg(printf('%s (%.2f)', term, n / total), ' | ' ORDER BY rk) AS terms
+        FROM s WHERE rk <= 5 GROUP BY doc_id""",
     "json_comments": with_ctes(V.COMMENTS, body=f"""
         SELECT CAST(discussion_id AS VARCHAR) AS discussion_id, {_CID} AS id, "user", votes, is_deleted,
                'see  URL  now' AS content FROM comments"""),
