@@ -19,8 +19,16 @@ from agora.operators.graph import weakly_connected_components
 from agora.operators.ranking import global_row_number
 
 
+def require_columns(df: DataFrame, cols: list[str]) -> None:
+    """Raises with the names of the columns that are missing."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not in the table: {', '.join(missing)}")
+
+
 def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean) / population std; a zero std divides by 1."""
+    require_columns(df, cols)
     out = df
     for c in cols:
         mean = df.agg(F.avg(c)).scalar()
@@ -115,25 +123,31 @@ def noise_stats(labels: DataFrame) -> DataFrame:
     )
 
 
+def variance_ratio(df: DataFrame, cols: list[str], label: str = "cluster", group: str | None = None) -> DataFrame:
+    """C7 per group (one row without): ``n, k, variance_ratio`` =
+    (B / (k - 1)) / (W / (n - k)) over the non-noise rows, null with fewer than
+    two clusters or no more rows than clusters, 1 if nothing varies within.
+
+    W is the sum of central second moments, which Spark adds up about running
+    means, and B sums squared distances of cluster means from the grand mean,
+    so neither cancels on data far from the origin."""
+    g = [group] if group else []
+    own = df.where(F.col(label) != -1).groupBy(*g, label).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in cols], sum(F.var_pop(c) for c in cols).alias("_v"))
+    grand = own.groupBy(*g).agg(
+        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_n") * F.col("_v")).alias("_w"),
+        *[(F.sum(F.col("_n") * F.col(f"_m_{c}")) / F.sum("_n")).alias(f"_g_{c}") for c in cols])
+    both = own.join(F.broadcast(grand), g) if g else own.join(F.broadcast(grand.where("k > 0")))  # without groups: one row
+    apart = sum(F.pow(F.col(f"_m_{c}") - F.col(f"_g_{c}"), 2) for c in cols)
+    out = both.groupBy(*g, "n", "k", "_w").agg(F.sum(F.col("_n") * apart).alias("_b"))
+    ratio = F.when(F.col("_w") == 0, F.lit(1.0)).otherwise((F.col("_b") / (F.col("k") - 1)) / (F.nullif(F.col("_w"), F.lit(0.0)) / F.nullif(F.col("n") - F.col("k"), F.lit(0))))
+    return out.select(*g, "n", "k", F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), ratio).alias("variance_ratio"))
+
+
 def calinski_harabasz(df: DataFrame, cols: list[str], label: str = "cluster") -> float | None:
-    """(B/(k-1)) / (W/(n-k)) from per-cluster sums (two aggregates)."""
-    d = df.where(F.col(label) != -1)
-    g = d.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols],
-                             *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols])
-    tot = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *[F.sum(f"s_{c}").alias(f"s_{c}") for c in cols],
-                *[F.sum(f"q_{c}").alias(f"q_{c}") for c in cols]).first()
-    n, k = tot["n"], tot["k"]
-    if not n or k < 2 or n <= k:
-        return None
-    # between = sum_c n_c |m_c - m|^2 ; within = sum |x|^2 - sum_c n_c |m_c|^2
-    bexpr = sum(F.col(f"s_{c}") * F.col(f"s_{c}") / F.col("n") for c in cols)
-    sum_nc_mc2 = g.agg(F.sum(bexpr)).first()[0]
-    grand = sum(tot[f"s_{c}"] ** 2 for c in cols) / n
-    between = sum_nc_mc2 - grand
-    within = sum(tot[f"q_{c}"] for c in cols) - sum_nc_mc2
-    if within == 0:
-        return 1.0
-    return (between / (k - 1)) / (within / (n - k))
+    """C7 of one clustering."""
+    row = variance_ratio(df, cols, label).first()
+    return row["variance_ratio"] if row else None
 
 
 def silhouette_squared(df: DataFrame, cols: list[str], label: str = "cluster", group: str | None = None) -> DataFrame:

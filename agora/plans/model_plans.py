@@ -13,9 +13,13 @@ from agora.functions import text as T
 from agora.operators import cluster as C
 from agora.operators import discussion_models as DM
 from agora.operators import domains as D
+from agora.operators import mixture as MX
 from agora.operators import models as M
+from agora.operators import neighbors as N
 from agora.operators import phrases as P
 from agora.operators import quality as Q
+from agora.operators import weights as W
+from agora.plans import quality_plans as QP
 from agora.plans import sql_views as V
 from agora.plans import text_plans as TP
 from agora.plans.cluster_plans import COLS, _std
@@ -92,36 +96,58 @@ def q_infer_hook(spark, sf):
 
 
 N_TRIALS = 20
+GATE = 0.5
 
 
 def _deliq_points(spark, sf):
-    """Continuous stand-in for the merged DELIQ features (embedding entries)."""
-    p = S.points(spark, sf, 5)
-    return p.select("pid", F.col("x0").alias("score"), F.col("x1").alias("kl_divergence"),
-                    F.col("x2").alias("influence_score"), F.col("x3").alias("n_comments"), F.col("x4").alias("votes"))
+    """The merged DELIQ rows (J3, J4, P2-P5), written once."""
+    m = QP.merged(spark, sf)
+    num = lambda c: F.col(c).cast("double").alias(c)
+    return cut_lineage(m.select(F.xxhash64(*QP.KEY).alias("pid"), *[num(c) for c in (*W.PARTS, *W.CLUSTER_COLS)]))
 
 
 def q_weight_search(spark, sf):
-    from agora.operators import weights as W
-    m = W.evaluate_candidates(_deliq_points(spark, sf), W.dirichlet_candidates(N_TRIALS))
-    return m.select(F.col("candidate").cast("long").alias("candidate"), "w0", "w1", "w2",
-                    F.col("n_clusters").cast("long").alias("n_clusters"), "noise_ratio", "silhouette", "objective")
+    """C9 round 0: the metrics of every start, for both algorithms."""
+    pts = _deliq_points(spark, sf)
+    rows = [r for a in W.ALGORITHMS for r in W.evaluate(pts, W.dirichlet_candidates(N_TRIALS), a)]
+    return spark.createDataFrame([tuple(r) for r in rows], "algorithm string, candidate long, w0 double, w1 double, w2 double, n long, n_clusters long, silhouette_score double, "
+                                      "calinski_harabasz_score double, noise_points long, noise_ratio double, bic_score double, aic_score double, objective double")
 
 
 def q_weight_comparison(spark, sf):
-    """C13 gate (Hopkins > 0.5 on the initial DELIQ features), then the
-    candidate search and the initial-versus-best table."""
-    from agora.operators import neighbors as N
-    from agora.operators import weights as W
+    """C13 gate (Hopkins on the initial DELIQ features), then the search and
+    the table before/after, a row per method, algorithm and metric; a closed
+    gate leaves one row of nulls."""
     pts = _deliq_points(spark, sf)
-    w = [x / sum(K.DELIQ_INITIAL_WEIGHTS) for x in K.DELIQ_INITIAL_WEIGHTS]
-    feats = pts.select("pid", (F.lit(w[0]) * F.col("score") + F.lit(w[1]) * F.col("kl_divergence")
-                               + F.lit(w[2]) * F.col("influence_score")).alias("deliq_score"), "votes", "n_comments")
-    h = N.hopkins(feats, ["deliq_score", "votes", "n_comments"], K.HOPKINS_SAMPLE_RATIO)
-    is_open = bool(h > 0.5)
-    table = W.comparison_table(W.evaluate_candidates(pts, W.dirichlet_candidates(N_TRIALS)))
-    cells = [F.col(c) if is_open else F.lit(None).cast(t).alias(c) for c, t in table.dtypes]  # one schema, open or closed
-    return table.select(F.lit(float(h)).alias("hopkins"), F.lit(is_open).alias("gate"), *cells)
+    feats = pts.select("pid", Q.deliq_score().alias("deliq_score"), "votes", "n_comments")
+    h = float(N.hopkins(feats, ["deliq_score", "votes", "n_comments"], K.HOPKINS_SAMPLE_RATIO))
+    return W.gated(spark, h, GATE, lambda: W.search(pts, N_TRIALS))
+
+
+def q_gmm_diag(spark, sf):
+    """C4 + C5: diagonal and full mixtures of the standardized DELIQ features."""
+    pts = _deliq_points(spark, sf)
+    cols = ["deliq_score", "n_comments", "votes"]
+    z = C.standardize(pts.select("pid", Q.deliq_score().alias("deliq_score"), "n_comments", "votes"), cols).persist()
+    rows = []
+    for kind in ("diag", "full"):
+        m = MX.fit_mixtures(z, cols, 3, kind)[0]
+        rows += [(kind, j, float(m.weights[j]), m.means[j].tolist(), m.bic(), m.aic()) for j in range(3)]
+    return spark.createDataFrame(rows, "covariance string, component int, weight double, mean array<double>, bic_score double, aic_score double")
+
+
+def q_metric_comparison(spark, sf):
+    """C10 + C11 arithmetic: seven figures of every event type before and after
+    the middle of the table's time span."""
+    ev = S.table(spark, sf, "events").withColumn("late", F.col("event_id") % 2 == 1)
+    figures = {
+        "n_clusters": lambda x: F.count_distinct(x["user_id"]), "silhouette_score": lambda x: F.min(x["value"]), "calinski_harabasz_score": lambda x: F.max(x["value"]),
+        "noise_points": lambda x: F.count(x["value"]), "noise_ratio": lambda x: F.sum(F.when(x["value"] > 1e6, 1.0)), "bic_score": lambda x: F.sum(x["value"]), "aic_score": lambda x: F.min(F.when(x["value"] < 0, x["value"]).otherwise(0.0)),
+    }
+    when = lambda late: {c: F.when(F.col("late") == late, F.col(c)) for c in ("user_id", "value")}
+    wide = ev.groupBy("event_type").agg(*[f(when(late)).alias(f"{side}_{m}") for m, f in figures.items() for side, late in (("initial", False), ("final", True))])
+    out = W.comparison_rows(wide, ["event_type"], list(figures))
+    return out.select("event_type", "metric", *[r6(c).alias(c) for c in ("initial", "final", "difference", "improvement_pct")])
 
 
 TUNING_CANDIDATES = 2
@@ -164,6 +190,8 @@ QUERIES = {
     "discussion_tuning": q_discussion_tuning,
     "topic_format": q_topic_format,
     "lda_tuning": q_lda_tuning,
+    "gmm_diag": q_gmm_diag,
+    "metric_comparison": q_metric_comparison,
     "weight_search": q_weight_search,
     "weight_comparison": q_weight_comparison,
     "lda_topics": q_lda_topics,
@@ -186,7 +214,15 @@ def _label_sql(k: int) -> str:
     return f"(list_position({logits}, list_max({logits})) - 1)"
 
 
+_FIGURES = {"n_clusters": "count(DISTINCT user_id)", "silhouette_score": "min(value)", "calinski_harabasz_score": "max(value)", "noise_points": "count(value)",
+            "noise_ratio": "sum(CASE WHEN value > 1e6 THEN 1.0 END)", "bic_score": "sum(value)", "aic_score": "min(CASE WHEN value < 0 THEN value ELSE 0 END)"}
+
 ORACLE: dict[str, str] = {
+    "metric_comparison": "WITH h AS (SELECT event_type, event_id % 2 = 1 AS late, " + ", ".join(f"CAST({x} AS DOUBLE) AS {m}" for m, x in _FIGURES.items())
+    + " FROM events GROUP BY ALL), l AS (" + " UNION ALL ".join(f"SELECT event_type, late, '{m}' AS metric, {m} AS v FROM h" for m in _FIGURES)
+    + f"""), p AS (SELECT event_type, metric, max(v) FILTER (NOT late) AS initial, max(v) FILTER (late) AS final FROM l GROUP BY ALL)
+        SELECT event_type, metric, {R("initial")} AS initial, {R("final")} AS final, {R("(final - initial)")} AS difference,
+               {R("CASE WHEN initial <> 0 THEN 100.0 * (final - initial) / abs(initial) END")} AS improvement_pct FROM p""",
     "topic_format": f"""
         WITH tk AS (SELECT doc_id, unnest({T.simple_tokens_sql("text")}) AS term FROM documents WHERE text IS NOT NULL),
         n AS (SELECT doc_id, term, count(*) AS n FROM tk GROUP BY doc_id, term),
