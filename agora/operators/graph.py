@@ -246,7 +246,7 @@ def pagerank(
     for it in range(1, max_iter + 1):
         base = alpha * dangling_mass / n + (1.0 - alpha) / n
         nxt = (
-            trans2.join(state.select(F.col("node").alias("src"), "x", "dangling"), "src")
+            trans2.join(state.select(F.col("node").alias("src"), "x", "dangling").hint("shuffle_hash"), "src")
             .groupBy(F.col("dst").alias("node"))
             .agg(
                 F.sum(F.col("x") * F.col("p")).alias("s"),

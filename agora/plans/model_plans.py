@@ -66,16 +66,19 @@ def q_dbscan_objective(spark, sf):
                                  "n_clusters long, noise_ratio double, silhouette_sq double, objective double")
 
 
-def _dump(spark, sf):
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/forum-dump-{uuid.uuid4().hex}"
+def _dump_tables(spark, sf):
     d = S.discussions(spark, sf).withColumn("content", F.col("title"))
     c = S.comments(spark, sf).select(
         "discussion_id", F.concat_ws("-", F.col("c_order.k2"), F.col("c_order.k3"), F.col("c_order.k4"),
                                                   F.col("c_order.k5").cast("string")).alias("cid"),
         "user", F.lit("see https://x.org now").alias("content"), "votes", "medal", "expertise", "is_appreciation",
         "is_deleted", "datetime")
-    J.write_line_dump(d, c, path)
+    return d, c
+
+
+def _dump(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forum-dump-{uuid.uuid4().hex}"
+    J.write_line_dump(*_dump_tables(spark, sf), path)
     return J.read_dump_objects(spark, path, layout="lines")
 
 
@@ -84,6 +87,16 @@ def q_json_ingest(spark, sf):
     return d.select("id", "title", "user", "votes", "n_comments", F.array_join("domains", "|").alias("domains"))
 
 
+def q_json_split(spark, sf):
+    """The same tables written as a few JSON objects of whole
+    discussions, each file split over tasks."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/forum-objects-{uuid.uuid4().hex}"
+    J.write_object_dump(*_dump_tables(spark, sf), path)
+    objs = J.read_dump_objects(spark, path, layout="split")
+    d = J.discussions_from_dump(objs)
+    return d.select("id", "title", "user", "votes", "n_comments", F.array_join("domains", "|").alias("domains"))
+
+
 def q_json_comments(spark, sf):
     c = J.comments_from_dump(_dump(spark, sf))
     return c.select("discussion_id", "id", "user", "votes", "is_deleted", "content")
@@ -200,6 +213,7 @@ QUERIES = {
     "gmm_fit": q_gmm_fit,
     "dbscan_objective": q_dbscan_objective,
     "json_ingest": q_json_ingest,
+    "json_split": q_json_split,
     "json_comments": q_json_comments,
     "infer_hook": q_infer_hook,
 }
@@ -216,6 +230,11 @@ def _label_sql(k: int) -> str:
 
 _FIGURES = {"n_clusters": "count(DISTINCT user_id)", "silhouette_score": "min(value)", "calinski_harabasz_score": "max(value)", "noise_points": "count(value)",
             "noise_ratio": "sum(CASE WHEN value > 1e6 THEN 1.0 END)", "bic_score": "sum(value)", "aic_score": "min(CASE WHEN value < 0 THEN value ELSE 0 END)"}
+_INGEST = with_ctes(V.DISCUSSIONS, V.COMMENTS, D.taxonomy_cte("tx"), D.taxonomy_cte("kw", single_token=True), body="""
+        SELECT CAST(id AS VARCHAR) AS id, title, "user", votes, CAST(coalesce(n, 0) AS BIGINT) AS n_comments,
+               CASE WHEN tags IS NOT NULL THEN """ + TP._BY_TAGS + " ELSE " + TP._by_content("kw", "title", "title") + """ END AS domains
+        FROM discussions LEFT JOIN (SELECT discussion_id, count(*) AS n FROM comments GROUP BY discussion_id) c
+          ON discussion_id = id""")
 
 ORACLE: dict[str, str] = {
     "metric_comparison": "WITH h AS (SELECT event_type, event_id % 2 = 1 AS late, " + ", ".join(f"CAST({x} AS DOUBLE) AS {m}" for m, x in _FIGURES.items())
@@ -228,16 +247,13 @@ ORACLE: dict[str, str] = {
         n AS (SELECT doc_id, term, count(*) AS n FROM tk GROUP BY doc_id, term),
         s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total,
                      row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rk FROM n)
-        SELECT doc_id, string_agg(printf('%s (%.2f)', term, n / total), ' | ' ORDER BY rk) AS terms
+        SELECT doc_id, string_agg(printf('%s (%.2f)', term, round_even(n / total, 2)), ' | ' ORDER BY rk) AS terms
         FROM s WHERE rk <= 5 GROUP BY doc_id""",
     "json_comments": with_ctes(V.COMMENTS, body=f"""
         SELECT CAST(discussion_id AS VARCHAR) AS discussion_id, {_CID} AS id, "user", votes, is_deleted,
                'see  URL  now' AS content FROM comments"""),
-    "json_ingest": with_ctes(V.DISCUSSIONS, V.COMMENTS, D.taxonomy_cte("tx"), D.taxonomy_cte("kw", single_token=True), body="""
-        SELECT CAST(id AS VARCHAR) AS id, title, "user", votes, CAST(coalesce(n, 0) AS BIGINT) AS n_comments,
-               CASE WHEN tags IS NOT NULL THEN """ + TP._BY_TAGS + " ELSE " + TP._by_content("kw", "title", "title") + """ END AS domains
-        FROM discussions LEFT JOIN (SELECT discussion_id, count(*) AS n FROM comments GROUP BY discussion_id) c
-          ON discussion_id = id"""),
+    "json_ingest": _INGEST,
+    "json_split": _INGEST,
     "infer_hook": f"""
         SELECT doc_id, {R("(" + " + ".join(f"{w!r} * {_label_sql(k)}" for k, (_, w) in enumerate(K.QUALITY_TASK_WEIGHTS))
                           + f" - {K.QUALITY_SCORE_MIN!r}) / {K.QUALITY_SCORE_MAX - K.QUALITY_SCORE_MIN!r} * {_BOUND!r}")} AS score

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.sources.splits import quoted_records
+
 
 def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
     """Several named tables as parquet datasets under one root."""
@@ -23,9 +25,17 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None, text_col: str | None = None,
              drop: tuple[str, ...] = ()) -> DataFrame:
     """Tab-separated scan (multi-line quoted fields); rows with a
-    null text column dropped; named columns dropped when present."""
-    r = spark.read.option("sep", "\t").option("header", True).option("multiLine", True).option("escape", '"')
-    df = r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
+    null text column dropped; named columns dropped when present.  With a
+    schema (by position) files are split over tasks (see ``splits``); without
+    one it is inferred, a task per file."""
+    if schema:
+        found = quoted_records(spark, path)
+        header = found.groupBy("file").agg(F.min("at").alias("top"))
+        record = F.regexp_replace("record", "\r$", "")
+        rows = found.join(header, "file").where((F.col("at") > F.col("top")) & (F.trim("record") != "")).select(F.from_csv(record, schema, {"sep": "\t", "escape": '"'}).alias("r"))
+        df = rows.select("r.*")
+    else:
+        df = spark.read.option("sep", "\t").option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", True).csv(path)
     if text_col:
         df = df.where(F.col(text_col).isNotNull())
     return df.drop(*drop)
