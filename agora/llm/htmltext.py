@@ -9,11 +9,16 @@ Scripts, styles, comments and markup are no lines.
 Pages of a host are sorted by address path and each is paired with the
 neighbour whose path shares the longer beginning.  The line sequences of a
 pair are aligned by longest common subsequence; lines the two share come from
-the template and are deleted.  Lines that the markup already calls outside are
-deleted as well (template lines that vary from page to page cannot be found by
-comparing), and lines the markup calls article stay (two pages may carry the
-same article).  A page whose every line is shared is a copy: nothing is
-deleted by comparison.  If a page has article lines, its open lines go too.
+the template and are deleted first, unless the markup calls them article (two
+pages may carry the same article).  Lines that the markup calls outside go
+next (template lines that vary from page to page cannot be found by
+comparing).  A page whose every line is shared is a copy: nothing is deleted
+by comparison.  If a page has article lines, its open lines go too.
+
+An element that is outside by a class word only, or a form, may wrap a whole
+page: a main element opens the article zone within it, and so does an article
+element if the page has no article lines elsewhere.  Class names that state a
+layout (``has-sidebar``, ``share-enabled``) say nothing of their element.
 
 Plan: one scan writes the line hashes of each page (8 bytes a line); addresses
 are sorted over range partitions, so a host with a third of all pages is split
@@ -32,6 +37,8 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -55,7 +62,13 @@ OUTSIDE_WORDS = frozenset(
     "pager pagination paywall popup promo promos promotion recommended related reply replies respond search share sharing sidebar sidebars "
     "signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: of these, what holds text of others: an article element in it is a comment or a teaser
+ALIEN_WORDS = frozenset("comment comments commentlist discussion disqus recommended related reply replies respond".split())
+LAYOUT_NAME = r"(?:has|no|not|is|with|without|show|hide)-.*|.*-(?:enabled|disabled|on|off|active|left|right|none|layout)"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+COUNTS = ("n_chars", "n_lines", "shared_lines", "lines_by_pair", "lines_by_zone", "lines_by_article")
+#: bits of alignment rows kept at once
+KEPT_BITS = 1 << 28
 ARTICLE_ELEMENTS = frozenset("article main".split())
 
 _TOKEN = re.compile(
@@ -63,15 +76,22 @@ _TOKEN = re.compile(
 )
 _MARKS = re.compile(r"""\b(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LAYOUT = re.compile(LAYOUT_NAME)
+
+#: WEAK: outside by a class word or as a form; REOPENED: an article element in such
+OUTSIDE, OPEN, ARTICLE, WEAK, REOPENED = 0, 1, 2, 3, 4
 
-OUTSIDE, OPEN, ARTICLE = 0, 1, 2
+
+def _class_words(value: str) -> set[str]:
+    return {w for name in value.split() if not _LAYOUT.fullmatch(name) for w in _WORD.findall(name)}
 
 
 def _zone(name: str, marks: str, now: int) -> int:
     """Zone inside an element that opens in zone ``now``."""
-    if now == OUTSIDE or name in OUTSIDE_ELEMENTS:
+    if now == OUTSIDE or (name in OUTSIDE_ELEMENTS and name != "form"):
         return OUTSIDE
-    article = name in ARTICLE_ELEMENTS
+    article, hit = name in ARTICLE_ELEMENTS, name == "form"
+    within = now in (ARTICLE, REOPENED)
     if marks and not marks.isspace():
         for m in _MARKS.finditer(marks):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -83,10 +103,16 @@ def _zone(name: str, marks: str, now: int) -> int:
                 article |= value in ("main", "article")
             elif key == "itemprop":
                 article |= value == "articlebody"
-            elif key in ("class", "id") and name not in ("html", "body") and not article:
-                if not OUTSIDE_WORDS.isdisjoint(_WORD.findall(value)):
+            elif key in ("class", "id") and name not in ("html", "body") and (not article or now == WEAK):
+                words = _class_words(value)
+                if not article and not ALIEN_WORDS.isdisjoint(words):
                     return OUTSIDE
-    return ARTICLE if article else now
+                hit |= not OUTSIDE_WORDS.isdisjoint(words)
+    if article and not (now == WEAK and hit):
+        return REOPENED if now == WEAK and name != "main" else now if within else ARTICLE
+    if hit:
+        return OUTSIDE if within else WEAK
+    return now
 
 
 def page_lines(page: str | None) -> list[tuple[int, str]]:
@@ -101,7 +127,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            lines.append((zone, text))
+            lines.append((OUTSIDE if zone == WEAK else zone, text))
 
     while m := _TOKEN.search(page, at):
         if m.start() > at:
@@ -162,20 +188,29 @@ def line_hashes(lines: list[tuple[int, str]]) -> list[int]:
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``: equal ends
-    are matched first, the rest by chains over equal lines (the longest
-    strictly increasing chain of their places in ``b``)."""
+    are matched first.  Of the rest, few equal pairs are chained (the longest
+    strictly increasing chain of places in ``b``); many of them, as lists of
+    equal lines make, are aligned by rows of bits, 64 lines a step."""
     low, high_a, high_b = 0, len(a), len(b)
     while low < min(high_a, high_b) and a[low] == b[low]:
         low += 1
     while high_a > low and high_b > low and a[high_a - 1] == b[high_b - 1]:
         high_a, high_b = high_a - 1, high_b - 1
+    mine, theirs = a[low:high_a], b[low:high_b]
+    counts = Counter(theirs)
+    pairs = sum(counts[x] for x in mine)
+    inner = _chained(mine, theirs) if pairs <= 20 * (len(mine) + len(theirs)) + 1000 else _aligned(mine, theirs)
+    return [*range(low), *(low + i for i in inner), *range(high_a, len(a))]
+
+
+def _chained(a: list[int], b: list[int]) -> list[int]:
     places: dict[int, list[int]] = {}
-    for j in range(high_b - 1, low - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)  # descending: one match per line of a
     tails: list[int] = []
     last: list[tuple[int, tuple | None]] = []
-    for i in range(low, high_a):
-        for j in places.get(a[i], ()):
+    for i, x in enumerate(a):
+        for j in places.get(x, ()):
             k = bisect_left(tails, j)
             node = (i, last[k - 1] if k else None)
             if k == len(tails):
@@ -187,19 +222,71 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     while node:
         chain.append(node[0])
         node = node[1]
-    return [*range(low), *reversed(chain), *range(high_a, len(a))]
-
-
-def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
-    """What stays of a page's lines; ``shared``: places of the lines that its
-    pair has as well."""
-    has_article = any(z == ARTICLE for z, _ in lines)
+    return chain[::-1]
+
+
+def _bit_rows(a: list[int], b: list[int]):
+    """After each line of ``a``, a number whose zero bits are the places in
+    ``b`` where the longest common subsequence grows."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        hit = row & masks.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a``; rows are kept while they are few bits, larger inputs
+    are halved at the place in ``b`` where both halves match most."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) <= KEPT_BITS or len(a) == 1:
+        rows, out, i, j = [(1 << len(b)) - 1, *_bit_rows(a, b)], [], len(a), len(b)
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if rows[i] >> (j - 1) & 1:
+                    out.append(i)
+                    j -= 1
+        return out[::-1]
+    half = len(a) // 2
+    *_, ahead = _bit_rows(a[:half], b)
+    *_, behind = _bit_rows(a[half:][::-1], b[::-1])
+    grown = lambda row: list(accumulate((c == "0" for c in reversed(f"{row:0{len(b)}b}")), initial=0))
+    left, right = grown(ahead), grown(behind)
+    cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
+    return [*_aligned(a[:half], b[:cut]), *(half + i for i in _aligned(a[half:], b[cut:]))]
+
+
+def judged_lines(lines: list[tuple[int, str]], shared: set[int]) -> tuple[list[str], int, int, int]:
+    """The lines that stay, and how many go because the pair has them, because
+    the markup puts them outside, and because they are open beside an article;
+    ``shared``: places of the lines that the page's pair has as well."""
+    article = ARTICLE if any(z == ARTICLE for z, _ in lines) else REOPENED
+    has_article = any(z == article for z, _ in lines)
     copied = len(shared) == len(lines)
-    kept = []
+    kept, by_pair, by_zone, by_article = [], 0, 0, 0
     for i, (zone, text) in enumerate(lines):
-        if zone == ARTICLE or (zone == OPEN and not has_article and (copied or i not in shared)):
+        if zone == article:
+            kept.append(text)
+        elif i in shared and not copied:
+            by_pair += 1
+        elif zone != OPEN:
+            by_zone += 1
+        elif has_article:
+            by_article += 1
+        else:
             kept.append(text)
-    return "\n".join(kept)
+    return kept, by_pair, by_zone, by_article
+
+
+def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
+    return "\n".join(judged_lines(lines, shared)[0])
 
 
 def nearest_addresses(pages: DataFrame) -> DataFrame:
@@ -281,7 +368,8 @@ def _shared(a: str, b: str) -> int:
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars, shared_lines`` of every page."""
+    """``page_id, url, text, n_chars`` of every page, its lines, those it shares
+    with its pair, and how many went by each rule (see ``judged_lines``)."""
     src = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     signed = src.withColumn("sig", F.xxhash64("html"))
     kind = src.schema["page_id"].dataType.simpleString()
@@ -317,11 +405,11 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         for batch in batches:
             texts, counts = [], []
             for page, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                texts.append(main_text(page_lines(page), set(shared or ())))
-                counts.append(len(shared or ()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
-                names=["page_id", "url", "text", "n_chars", "shared_lines"],
-            )
-
-    return rows.mapInArrow(assemble, f"page_id {kind}, url string, text string, n_chars long, shared_lines long")
+                lines = page_lines(page)
+                kept, *gone = judged_lines(lines, set(shared or ()))
+                texts.append("\n".join(kept))
+                counts.append((len(texts[-1]), len(lines), len(shared or ()), *gone))
+            columns = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), *columns], names=["page_id", "url", "text", *COUNTS])
+
+    return rows.mapInArrow(assemble, f"page_id {kind}, url string, text string, " + ", ".join(f"{c} long" for c in COUNTS))

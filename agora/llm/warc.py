@@ -199,17 +199,23 @@ def write_archives(
         same.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").select(F.col("sha").alias("s"), "first"),
         "payloads",
     )
-    revisits = same.join(groups, F.col("sha") == F.col("s")).where("page_id <> first").select(F.col("page_id").alias("p"), "first").distinct()
+    # rows of one id may hold different payloads: a revisit is a page and a payload
+    revisits = same.join(groups, F.col("sha") == F.col("s")).where("page_id <> first").select(F.col("page_id").alias("p"), F.col("sha").alias("of"), "first").distinct()
     # a bounded sample: hashes below a limit that lets about twice as many rows through, of those the
     # smallest; so a task hands on a few rows, not sample_rows each, and one small task trains
     total = pages.count()
     share = 1 << 20
     limit = share if total <= 2 * sample_rows else max(1, 2 * sample_rows * share // total)
-    hashed = src.where("length(payload) > 0").select(F.xxhash64("page_id", "payload").alias("h"), F.substring("payload", 1, sample_bytes).alias("s"))
+    hashed = src.where("length(payload) > 0").select(
+        F.xxhash64("page_id", "payload").alias("h"), "page_id", "url", F.substring("payload", 1, sample_bytes).alias("s")
+    )
     sample = hashed.where(F.pmod(F.col("h"), F.lit(share)) < limit).orderBy("h").limit(sample_rows)
 
     def train(batches):
-        samples = [s for b in batches for s in b.column(1).to_pylist()]
+        # whole records, headers and all; every eighth also as a revisit
+        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns[1:]))]
+        samples = [record(page, target, s, None) for page, target, s in rows]
+        samples += [record(page, target, s, page) for page, target, s in rows[::8] if page is not None]
         yield pa.RecordBatch.from_arrays([pa.array([build_dictionary(samples)], pa.binary())], names=["d"])
 
     trained = sample.coalesce(1).mapInArrow(train, "d binary").collect()
@@ -237,7 +243,8 @@ def write_archives(
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.warc.zst"]), pa.array([n], pa.int64()), pa.array([writer.offset], pa.int64())], names=["path", "records", "bytes"])
 
     # the join's own partitions become the archives: page texts are shuffled once at most
-    rows = src.join(revisits, F.col("page_id") == F.col("p"), "left").select("page_id", "url", "payload", "first")
+    told = src.withColumn("sha", F.sha2("payload", 256))
+    rows = told.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("sha") == F.col("of")), "left").select("page_id", "url", "payload", "first")
     dealt = rows.repartition(archives) if archives else rows
     return freeze(dealt.mapInArrow(write, "path string, records long, bytes long"), "manifest")
 

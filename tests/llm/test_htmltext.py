@@ -1,6 +1,8 @@
 import random
+import time
 
-from agora.llm.htmltext import ARTICLE, OPEN, OUTSIDE, common_lines, extract_text, main_text, nearest_addresses, page_lines
+from agora.llm import htmltext
+from agora.llm.htmltext import ARTICLE, OPEN, OUTSIDE, common_lines, extract_text, judged_lines, main_text, nearest_addresses, page_lines
 from tests.llm.cases import clashing, prose
 
 PAGES = "page_id long, url string, html string"
@@ -57,6 +59,75 @@ def test_common_lines_are_longest():
         assert all(a[i] in it for i in got)  # a subsequence of b
 
 
+def test_many_equal_lines_end_soon(monkeypatch):
+    began = time.time()
+    a, b = [1] * 50_000, [2] + [1] * 49_000 + [3]
+    assert len(common_lines(a, b)) == 49_000
+    assert time.time() - began < 30
+    monkeypatch.setattr(htmltext, "KEPT_BITS", 40)  # halved again and again
+    r = random.Random(8)
+    for _ in range(200):
+        a, b = ([r.randint(0, 3) for _ in range(r.randint(0, 30))] for _ in range(2))
+        got = htmltext._aligned(a, b)
+        assert len(got) == lcs(a, b) and got == sorted(set(got))
+        it = iter(b)
+        assert all(a[i] in it for i in got)
+
+
+def test_wrappers_do_not_empty_a_page():
+    def text(page):
+        return main_text(page_lines(page), set())
+
+    body = "<h1>T</h1><p>One.</p><div class='comments'><article class='comment'><p>First!</p></article></div>"
+    for wrapped in (
+        f"<div class='site has-sidebar'><article>{body}</article></div>", f"<form><main>{body}</main></form>", f"<div class='layout share-enabled'><article>{body}</article></div>",
+        f"<div class='widget'><div class='menu x'>Menu</div><article>{body}</article></div>", f"<form><article>{body}</article><input></form>",
+    ):
+        assert text(wrapped) == "T\nOne.", wrapped
+    # an article elsewhere: the one in the sidebar is a teaser
+    assert text(f"<div class='sidebar'><article>Teaser</article></div><article>{body}</article>") == "T\nOne."
+    assert text("<div class='comments'><article>A reader</article></div><p>Open.</p>") == "Open."
+
+
+def spec(seed):
+    """Lines with their zones, and the page they make."""
+    r = random.Random(seed)
+    marks = {OUTSIDE: ["<nav>{}</nav>", "<div class='ad x'>{}</div>", "<footer>{}</footer>"], OPEN: ["<p>{}</p>", "<div><div>{}</div></div>"], ARTICLE: ["<article>{}</article>"]}
+    zones = [OUTSIDE, OPEN, ARTICLE] if seed % 3 else [OUTSIDE, OPEN]
+    lines = [(r.choice(zones), f"line {r.randint(0, 9)}" if r.random() < 0.7 else f"own {seed} {k}") for k in range(r.randint(0, 12))]
+    return lines, "<html><body>" + "".join(r.choice(marks[z]).format(t) for z, t in lines) + "</body></html>"
+
+
+def test_whole_query_against_brute_force(spark):
+    specs = {k: spec(k) for k in range(60)}
+    where = {k: ("h.example.com" if k % 4 else "g.example.com", f"/{k % 7}/{k:03d}") for k in specs}
+    rows = [(k, f"https://{where[k][0]}{where[k][1]}?q={k}", page) for k, (_, page) in specs.items()]
+    order = sorted(specs, key=lambda k: where[k])
+
+    def near(k, j):
+        if not 0 <= j < len(order) or where[order[j]][0] != where[k][0]:
+            return -1
+        x, y = where[k][1], where[order[j]][1]
+        return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    got = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, PAGES).repartition(6)).collect()}
+    deleted = 0
+    for at, k in enumerate(order):
+        lines = specs[k][0]
+        partner = order[at - 1] if near(k, at - 1) >= near(k, at + 1) else order[at + 1]
+        mine, other = [t for _, t in lines], [t for _, t in specs[partner][0]]
+        # any longest common subsequence will do: the places are the operator's, their number is not
+        shared = set(common_lines(mine, other))
+        assert got[k].shared_lines == len(shared) == lcs(mine, other) and got[k].n_lines == len(lines)
+        has_article = any(z == ARTICLE for z, _ in lines)
+        open_stays = lambda i: not has_article and (i not in shared or len(shared) == len(lines))
+        want = [t for i, (z, t) in enumerate(lines) if z == ARTICLE or (z == OPEN and open_stays(i))]
+        assert got[k].text == "\n".join(want) and got[k].n_chars == len(got[k].text)
+        assert got[k].n_lines == len(want) + got[k].lines_by_pair + got[k].lines_by_zone + got[k].lines_by_article
+        deleted += got[k].lines_by_pair
+    assert deleted > 20 and judged_lines([], set()) == ([], 0, 0, 0)
+
+
 def test_differencing_finds_template_lines(spark):
     rows, want = [], {}
     for k in range(40):

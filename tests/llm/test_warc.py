@@ -42,6 +42,15 @@ def test_smaller_payloads_are_always_responses(spark):
     assert {r.page_id: r.refers_to for r in got} == {1: None, 2: None, 3: None, 4: 3}
 
 
+def test_unlike_rows_of_one_page(spark):
+    rows = [(1, "u", "AAA"), (5, "u", "AAA"), (5, "u", "BBB"), (7, "u", "BBB")]
+    got = archive_pages(spark.createDataFrame(rows, PAGES)).collect()
+    named = {base64.b32encode(hashlib.sha1(t).digest()).decode(): t for t in (b"AAA", b"BBB")}
+    assert sorted((r.page_id, named[r.payload_digest], r.record_type, r.refers_to) for r in got) == [
+        (1, b"AAA", "response", None), (5, b"AAA", "revisit", 1), (5, b"BBB", "response", None), (7, b"BBB", "revisit", 5),
+    ]
+
+
 def test_empty_table(spark):
     assert archive_pages(spark.createDataFrame([], PAGES)).count() == 0
 
