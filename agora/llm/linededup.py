@@ -24,7 +24,8 @@ Plan: chunk hashes are counted (map-side sums; a chunk that occurs in a third
 of all documents is one row per task), only repeated hashes are written.  They
 are broadcast to the chunks if their row count is within a bound, else joined
 by a shuffle; the occurrences are joined to the first ones by hash, and the
-runs, a list per document, are joined back once.  All of it is DataFrame
+runs, a list per document, are joined back under a bound of their own: first
+to count words, then to cut the texts.  All of it is DataFrame
 expressions; no Python runs on executors.
 
 Defined results: a null text stays null (0 lines); an empty text is one empty
@@ -45,6 +46,7 @@ from agora.llm.common import freeze
 
 
 BROADCAST_ROWS = 1_000_000  # of a hash and a place: some 50 MB at most
+DOCUMENT_ROWS = 200_000  # of a document and its runs, a hundred bytes as a rule
 WORD = r"[^ \t\r\f\x0b]+"
 
 
@@ -149,34 +151,46 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", setup:
     """All columns of ``docs`` with ``text`` cleaned, plus ``__n_lines``,
     ``__removed_lines``, ``__removed_words`` and ``__left_words`` (0 where
     nothing is removed)."""
-    gone = (
+    runs = (
         repeated_runs(docs, key, text, setup)
         .groupBy(F.col("id").alias("__id"), F.col("t").alias("__t"))
         .agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__runs"))
     )
-    names, lines, runs = docs.columns, F.col("__lines"), F.col("__long")
-    part = lambda lo, hi: F.slice(lines, lo, hi - lo + 1)
-    words = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + word_count(x))
-    start = lambda k: F.coalesce(F.get(runs, k - 1)["hi"], F.lit(0)) + 1
-    stop = lambda k: F.coalesce(F.get(runs, k)["lo"], F.size(lines) + 1) - 1
-    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: part(start(k), stop(k))))
-    long = F.filter(F.col("__runs"), lambda r: words(part(r["lo"], r["hi"])) >= setup.least)
-    cut = (
-        docs.join(gone, (docs[key] == gone["__id"]) & (F.xxhash64(docs[text]) == gone["__t"]), "left")
-        .withColumn("__lines", F.split(F.col(text), "\n", -1))
-        .withColumn("__long", long)
-        .withColumn("__left", F.when(F.size(runs) > 0, left))
-    )
-    removed = F.aggregate(runs, F.lit(0), lambda n, r: n + r["hi"] - r["lo"] + 1)
-    out = F.aggregate(runs, F.lit(0), lambda n, r: n + words(part(r["lo"], r["hi"])))
-    some = F.col("__left").isNotNull()
-    if setup.most < 100:
-        stays = words(F.col("__left"))
-        some = some & ((stays == 0) | (100 * out < setup.most * (out + stays)))
+    runs = freeze(runs, "runs")
+    gone = freeze(judged_runs(docs.select(F.col(key).alias("__k"), F.col(text).alias("__text")), runs, setup), "removals")
+    small = gone.count() <= DOCUMENT_ROWS
+    names, lines, long = docs.columns, F.split(F.col(text), "\n", -1), F.col("__long")
+    start = lambda k: F.coalesce(F.get(long, k - 1)["hi"], F.lit(0)) + 1
+    stop = lambda k: F.coalesce(F.get(long, k)["lo"], F.size(lines) + 1)
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(long)), lambda k: F.slice(lines, start(k), stop(k) - start(k))))
+    clean = F.when(long.isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    cut = docs.join(F.broadcast(gone) if small else gone, (docs[key] == gone["__id"]) & (F.xxhash64(docs[text]) == gone["__t"]), "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return cut.select(
-        *[F.when(some, F.array_join("__left", "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("__n_lines"),
-        F.when(some, removed).otherwise(0).cast("long").alias("__removed_lines"),
-        F.when(some, out).otherwise(0).cast("long").alias("__removed_words"),
-        F.when(some, words(F.col("__left"))).otherwise(0).cast("long").alias("__left_words"),
+        *[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names],
+        F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long").alias("__n_lines"),
+        *[number(c) for c in ("__removed_lines", "__removed_words", "__left_words")],
+    )
+
+
+def judged_runs(texts: DataFrame, runs: DataFrame, setup: Chunks) -> DataFrame:
+    """``__id, __t`` of the documents that lose runs, the runs ``__long`` and
+    what goes and stays, in numbers; no text leaves the scan while the runs
+    are few enough to be broadcast."""
+    small = runs.count() <= DOCUMENT_ROWS
+    own = texts.join(F.broadcast(runs) if small else runs, (F.col("__k") == F.col("__id")) & (F.xxhash64("__text") == F.col("__t")))
+    counted = own.select("__id", "__t", "__runs", F.transform(F.split("__text", "\n", -1), word_count).alias("__words"))
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, w: a + w)
+    within = lambda r: add(F.slice("__words", r["lo"], r["hi"] - r["lo"] + 1))
+    long = counted.withColumn("__long", F.filter("__runs", lambda r: within(r) >= setup.least)).where(F.size("__long") > 0)
+    long = long.select(
+        "__id",
+        "__t",
+        "__long",
+        F.aggregate("__long", F.lit(0), lambda n, r: n + r["hi"] - r["lo"] + 1).alias("__removed_lines"),
+        F.aggregate("__long", F.lit(0), lambda n, r: n + within(r)).alias("__removed_words"),
+        add(F.col("__words")).alias("__all_words"),
     )
+    stays = F.col("__all_words") - F.col("__removed_words")
+    judged = long.dropDuplicates(["__id", "__t"]).withColumn("__left_words", stays).drop("__all_words")
+    return judged.where((F.col("__left_words") == 0) | (100 * F.col("__removed_words") < setup.most * (F.col("__removed_words") + F.col("__left_words")))) if setup.most < 100 else judged
