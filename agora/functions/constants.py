@@ -203,3 +203,17 @@ DBSCAN_EPS = 0.7
 DBSCAN_MIN_SAMPLES = 10
 HOPKINS_SAMPLE_RATIO = 0.3
 RANDOM_STATE = 42
+
+
+#: fixed values: English nouns whose singular no plural rule gives
+LEMMA_EXCEPTIONS = {
+    "news": "news", "series": "series", "species": "species", "means": "means", "lens": "lens", "physics": "physics",
+    "mathematics": "mathematics", "statistics": "statistics", "analytics": "analytics", "always": "always",
+    "dies": "die", "lies": "lie", "ties": "tie", "pies": "pie", "movies": "movie", "cookies": "cookie", "zombies": "zombie",
+    "men": "man", "women": "woman", "children": "child", "people": "people", "feet": "foot", "teeth": "tooth", "geese": "goose",
+    "mice": "mouse", "oxen": "ox", "lives": "life", "wives": "wife", "knives": "knife", "leaves": "leaf", "halves": "half",
+    "selves": "self", "shelves": "shelf", "wolves": "wolf", "thieves": "thief", "heroes": "hero", "potatoes": "potato",
+    "tomatoes": "tomato", "echoes": "echo", "quizzes": "quiz", "matrices": "matrix", "vertices": "vertex", "indices": "index",
+    "axes": "axis", "analyses": "analysis", "hypotheses": "hypothesis", "crises": "crisis", "theses": "thesis",
+    "criteria": "criterion", "phenomena": "phenomenon",
+}

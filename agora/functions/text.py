@@ -16,8 +16,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from agora.functions.constants import (
-    ANALYSIS_KEEP, ENGLISH_STOPWORDS, TECH_PHRASES, TUNING_EXTRA, TUNING_KEEP,
+    ANALYSIS_KEEP, ENGLISH_STOPWORDS, LEMMA_EXCEPTIONS, TECH_PHRASES, TUNING_EXTRA, TUNING_KEEP,
 )
+from agora.functions.lookups import literal_map
 
 # Python's str.isspace() set: ASCII controls, 0x1C-0x1F, NEL and Unicode Z*
 WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}"
@@ -171,8 +172,8 @@ def remove_stopwords_sql(x: str, stop: list[str]) -> str:
 
 
 # --------------------------------------------------------------------- T12
-# Noun lemmas by regular English plural rules (the dictionary lemmatizer is
-# not available offline; a (token, lemma) table can be joined instead).
+# Noun lemmas: a list of exceptions, then regular English plural rules.  A full
+# (token, lemma) table is taken by ``operators.lemmas.lemmatize_by_table``.
 _LEMMA_CASE = (
     "CASE WHEN length(t) > 3 AND t LIKE '%ies' THEN concat(substr(t, 1, length(t) - 3), 'y') "
     "WHEN length(t) > 3 AND (t LIKE '%sses' OR t LIKE '%ches' OR t LIKE '%shes' OR t LIKE '%xes' "
@@ -182,11 +183,13 @@ _LEMMA_CASE = (
 )
 
 
-def lemmatize(tokens) -> Column:
-    return F.transform(_c(tokens), _lemma)
+def lemmatize(tokens, exceptions: dict[str, str] = LEMMA_EXCEPTIONS) -> Column:
+    known = literal_map(exceptions)
+    return F.transform(_c(tokens), lambda t: F.coalesce(F.element_at(known, t), lemma(t)))
 
 
-def _lemma(t: Column) -> Column:
+def lemma(t: Column) -> Column:
+    """The plural rules alone."""
     n = F.length(t)
     return (
         F.when((n > 3) & t.endswith("ies"), F.concat(t.substr(F.lit(1), n - 3), F.lit("y")))
@@ -199,7 +202,8 @@ def _lemma(t: Column) -> Column:
 
 
 def lemmatize_sql(x: str) -> str:
-    return f"list_transform({x}, lambda t: {_LEMMA_CASE})"
+    known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LEMMA_EXCEPTIONS.items()) + "}"
+    return f"list_transform({x}, lambda t: coalesce(({known})[t], {_LEMMA_CASE}))"
 
 
 # ------------------------------------------------------- composed token chains

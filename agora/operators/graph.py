@@ -53,22 +53,37 @@ def interaction_weight(c_votes, c_app, c_medal, p_medal, c_exp, p_exp, c_ts, ref
     )
 
 
-def interactions(discussions: DataFrame, comments: DataFrame, reference_date: str) -> DataFrame:
+def first_discussions(discussions: DataFrame) -> DataFrame:
+    """The first row, in load order, of every discussion id."""
+    fields = [c for c in discussions.columns if c != "id"]
+    if "load_order" not in fields:
+        return discussions.dropDuplicates(["id"])
+    return discussions.groupBy("id").agg(F.min_by(F.struct(*fields), "load_order").alias("r")).select("id", "r.*")
+
+
+def interactions(discussions: DataFrame, comments: DataFrame, reference_date: str, missing: str = "error") -> DataFrame:
     """One weighted interaction per non-deleted comment: commenter -> author.
 
-    The comment -> discussion lookup is an equi-join on the discussion key
-    (discussions are unique per id); both sides shuffle on that key once."""
-    d = discussions.select(
+    The comment -> discussion lookup (J1) is an equi-join on the discussion
+    key with the first discussion of that id; both sides shuffle on that key
+    once.  A comment whose discussion is missing fails the query, without a
+    job of its own; ``missing="skip"`` leaves such comments out (see
+    ``orphan_comments``)."""
+    if missing not in ("error", "skip"):
+        raise ValueError(missing)
+    needed = [c for c in ("id", "user", "medal", "expertise", "load_order") if c in discussions.columns]
+    d = first_discussions(discussions.select(*needed)).select(
         F.col("id").alias("d_id"),
         F.col("user").alias("author"),
         F.col("medal").alias("p_medal"),
         F.col("expertise").alias("p_expertise"),
     )
     c = comments.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
-    j = c.join(d, c.discussion_id == d.d_id, "inner")
+    j = c.join(d, c.discussion_id == d.d_id, "left" if missing == "error" else "inner")
+    lost = F.raise_error(F.concat(F.lit("no discussion has the id of a comment: "), F.coalesce(F.col("discussion_id").cast("string"), F.lit("null"))))
     return j.select(
         F.col("user").alias("src"),
-        F.col("author").alias("dst"),
+        (F.when(F.col("d_id").isNull(), lost).otherwise(F.col("author")) if missing == "error" else F.col("author")).alias("dst"),
         interaction_weight(
             F.col("votes"), F.col("is_appreciation"), F.col("medal"), F.col("p_medal"),
             F.col("expertise"), F.col("p_expertise"), F.col("datetime"), reference_date,

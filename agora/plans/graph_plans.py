@@ -30,6 +30,13 @@ def q_edge_weights(spark, sf) -> DataFrame:
     return G.interactions(d, c, S.REFERENCE_DATE).select("src", "dst", r6("weight").alias("weight"))
 
 
+def q_orphan_comments(spark, sf) -> DataFrame:
+    """J1 audit, against the discussions that are closed."""
+    d, c = S.discussions(spark, sf), S.comments(spark, sf)
+    lost = G.orphan_comments(d.where("forum = 'F'"), c)
+    return lost.groupBy("discussion_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_edges(spark, sf) -> DataFrame:
     _, _, _, e = _graph(spark, sf)
     return e.select("src", "dst", r6("weight").alias("weight"))
@@ -137,6 +144,7 @@ def q_components_all(spark, sf) -> DataFrame:
 QUERIES = {
     "edge_weights": q_edge_weights,
     "edges": q_edges,
+    "orphan_comments": q_orphan_comments,
     "author_nodes": q_author_nodes,
     "commenter_nodes": q_commenter_nodes,
     "in_degree": q_in_degree,
@@ -171,6 +179,9 @@ labels AS (SELECT c.node, c.label FROM cc c JOIN cc_last l ON c.it = l.it)"""
 ORACLE = {
     "edge_weights": with_ctes(V.DISCUSSIONS, V.COMMENTS, V.INTERACTIONS,
                               body=f"SELECT src, dst, {R('weight')} AS weight FROM interactions"),
+    "orphan_comments": with_ctes(V.DISCUSSIONS, V.COMMENTS, body="""
+        SELECT discussion_id, count(*) AS n FROM comments WHERE NOT coalesce(is_deleted, false)
+          AND discussion_id NOT IN (SELECT id FROM discussions WHERE forum = 'F') GROUP BY discussion_id"""),
     "edges": with_ctes(*GRAPH_CTES[:5], body=f"SELECT src, dst, {R('weight')} AS weight FROM edges"),
     "author_nodes": with_ctes(V.DISCUSSIONS, V.COMMENTS, V.DISCUSSIONS_WC, V.AUTHOR_NODES,
                               body=f"SELECT node, medal, expertise, n_posts, total_post_votes, n_comments, n_appreciations FROM author_nodes"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import text as T
 from agora.operators import domains as D
+from agora.operators.lemmas import lemmatize_by_table
 from agora.plans import sql_views as V
 from agora.plans.common import with_ctes
 from agora.sources import tables as S
@@ -17,7 +18,7 @@ LANG_TAXONOMY = {
     "German": ["der", "die", "und"],
     "English": ["the", "of", "and"],
     "Spanish": ["de", "la", "que"],
-    "French": ["le", "et", "les"],
+    "French": ["le", "et", "les", "de", "la", "que"],  # some words are of both
 }
 
 
@@ -62,6 +63,14 @@ def q_lemmas(spark, sf) -> DataFrame:
     return _docs(spark, sf).select("doc_id", *_tok_out(T.analysis_tokens("text")))
 
 
+def q_lemma_table(spark, sf) -> DataFrame:
+    """T12 with a (token, lemma) table: here every long token of the
+    documents and its first letters."""
+    d = _docs(spark, sf).select("doc_id", T.simple_tokens("text").alias("toks"))
+    known = d.select(F.explode("toks").alias("token")).where("length(token) >= 9").distinct().withColumn("lemma", F.substring("token", 1, 7))
+    return lemmatize_by_table(d, "doc_id", "toks", known).select("doc_id", *_tok_out(F.col("lemmas")))
+
+
 def q_min_tokens(spark, sf) -> DataFrame:
     """Tuning tokens of documents with at least 5 tokens."""
     d = _docs(spark, sf).select("doc_id", T.tuning_tokens("text").alias("t"))
@@ -104,6 +113,7 @@ QUERIES = {
     "tokens_accents": q_tokens_accents,
     "stopword_filter": q_stopword_filter,
     "lemmas": q_lemmas,
+    "lemma_table": q_lemma_table,
     "min_tokens": q_min_tokens,
     "tag_domains": q_tag_domains,
     "discussion_domains": q_discussion_domains,
@@ -135,6 +145,8 @@ ORACLE = {
     "tokens": f"SELECT doc_id, {_tok_sql(T.simple_tokens_sql('text'))} FROM documents",
     "tokens_accents": f"SELECT doc_id, {_tok_sql(T.simple_tokens_sql('text', deacc=False))} FROM documents",
     "stopword_filter": f"""SELECT doc_id, {_tok_sql(T.remove_stopwords_sql(T.simple_tokens_sql(T.tech_phrases_sql('text')), T.stopword_list('analysis')))} FROM documents""",
+    "lemma_table": f"""SELECT doc_id, {_tok_sql('t')} FROM (SELECT doc_id,
+        list_transform({T.simple_tokens_sql('text')}, lambda t: CASE WHEN length(t) >= 9 THEN left(t, 7) ELSE {T._LEMMA_CASE} END) AS t FROM documents)""",
     "lemmas": f"SELECT doc_id, {_tok_sql(T.analysis_tokens_sql('text'))} FROM documents",
     "min_tokens": f"""SELECT doc_id, {_tok_sql('t')} FROM (SELECT doc_id, {T.tuning_tokens_sql('text')} AS t FROM documents)
                       WHERE len(t) >= 5""",
