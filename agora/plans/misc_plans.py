@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 from agora.functions.divergence import densify
 from agora.operators import domains as D
+from agora.operators import quality as Q
+from agora.operators import structure as St
+from agora.plans import quality_plans as QP
 from agora.plans import sql_views as V
 from agora.plans.common import R, r6, with_ctes
 from agora.plans.structure_plans import _FEAT, features
 from agora.plans.summary_plans import _D, dash
 from agora.session import ensure_checkpoint_dir
 from agora.sources import sinks as Sk
+from agora.sources import table_sets as TS
 from agora.sources import tables as S
 from agora.sources.kl_table import CONTENT_TOPICS_SQL, content_topics
+from agora.sources.scored import scored_rows
 
 FIRST_N = 5
 
@@ -74,7 +79,30 @@ def q_tsv_roundtrip(spark, sf):
     return back
 
 
+def q_table_set(spark, sf):
+    """Discussions, comments and features written as one set, read back
+    and joined (S9)."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/set-{uuid.uuid4().hex}"
+    d, c = S.discussions(spark, sf), S.comments(spark, sf)
+    feats = St.feature_rows(d, c)
+    TS.write_table_set({"discussions": d.select("id", "title", "user", "votes"), "comments": c.select("discussion_id", "user", "votes"), "features": feats}, root)
+    t = TS.read_table_set(spark, root)
+    votes = t["comments"].groupBy("discussion_id").agg(F.sum("votes").alias("comment_votes"))
+    j = t["discussions"].join(t["features"], F.col("id") == F.col("discussion_id")).drop("discussion_id").join(votes, F.col("id") == F.col("discussion_id"), "left")
+    return j.select("id", "user", "votes", "n_comments", r6("expertise_avg").alias("expertise_avg"), F.coalesce("comment_votes", F.lit(0)).cast("long").alias("comment_votes"))
+
+
+def q_scored_tsv(spark, sf):
+    """S13 + S14: the scored rows as a set of tab-separated text, read back."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scored-{uuid.uuid4().hex}"
+    rows = scored_rows(spark, sf).withColumn("score", Q.weighted_score()).select("id", "line", "partkey", "suppkey", "user", "score")
+    TS.write_table_set({"scored": rows}, root, {"scored": "tsv"})
+    return TS.read_table_set(spark, root)["scored"].select("id", "line", "partkey", "suppkey", r6("score").alias("score"))
+
+
 QUERIES = {
+    "table_set": q_table_set,
+    "scored_tsv": q_scored_tsv,
     "discussion_features": q_discussion_features,
     "label_flags": q_label_flags,
     "tags_roundtrip": q_tags_roundtrip,
@@ -85,6 +113,11 @@ QUERIES = {
 }
 
 ORACLE = {
+    "table_set": with_ctes(V.DISCUSSIONS, V.COMMENTS, _FEAT, body=f"""
+        SELECT d.id, d."user", d.votes, f.n_comments, {R('f.expertise_avg')} AS expertise_avg, CAST(coalesce(c.v, 0) AS BIGINT) AS comment_votes
+        FROM discussions d JOIN feat f ON d.id = f.discussion_id
+        LEFT JOIN (SELECT discussion_id, sum(votes) AS v FROM comments GROUP BY discussion_id) c ON c.discussion_id = d.id"""),
+    "scored_tsv": QP.ORACLE["aqua_score"],
     "discussion_features": with_ctes(V.DISCUSSIONS, V.COMMENTS, _FEAT, body=f"""
         SELECT d.id, d."user", d.votes, f.depth, {R('f.expertise_avg')} AS expertise_avg, {R('f.vote_ratio')} AS vote_ratio,
                f.has_comments, f.n_comments AS n_comments_features

@@ -1,21 +1,14 @@
-"""Sinks and delimited-text readers."""
+"""Sinks and delimited-text readers (S10-S14, S20, S22, S7); tables that
+belong together are written by ``table_sets``."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.sources.splits import quoted_records
 
 
-def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
-    """Several named tables as parquet datasets under one root."""
-    for name, df in tables.items():
-        df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
-
-
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Tab-separated text with a header, quoted as needed."""
     (df.write.mode(mode).option("sep", "\t").option("header", True).option("quoteAll", False)
@@ -62,11 +55,3 @@ def parse_list_string(c) -> Column:
     when it does not parse (the row is then skipped downstream)."""
     c = F.col(c) if isinstance(c, str) else c
     return F.from_json(F.translate(c, "'", '"'), "array<string>")
-
-
-def parse_list_string_sql(x: str) -> str:
-    return f"TRY_CAST(json(replace({x}, '''', '\"')) AS VARCHAR[])"
-
-
-def safe_name(s: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_]+", "_", s)
