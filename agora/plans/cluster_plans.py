@@ -13,6 +13,8 @@ from agora.plans.graph_plans import _CC
 from agora.sources import tables as S
 
 COLS = ["x0", "x1", "x2"]
+#: with these the stand-in points fall into several clusters and noise
+EPS, MIN_SAMPLES = 0.4, 5
 
 
 def _std(spark, sf):
@@ -23,16 +25,20 @@ def q_standardize(spark, sf):
     return _std(spark, sf).select("pid", *[r6(c).alias(c) for c in COLS])
 
 
+def labels(spark, sf):
+    return C.dbscan(_std(spark, sf), COLS, EPS, MIN_SAMPLES)
+
+
 def q_dbscan(spark, sf):
-    return C.dbscan(_std(spark, sf), COLS)
+    return labels(spark, sf)
 
 
 def q_cluster_sizes(spark, sf):
-    return C.cluster_sizes(C.dbscan(_std(spark, sf), COLS)).select("cluster", F.col("size").cast("long").alias("size"))
+    return C.cluster_sizes(labels(spark, sf)).select("cluster", F.col("size").cast("long").alias("size"))
 
 
 def q_noise_stats(spark, sf):
-    n = C.noise_stats(C.dbscan(_std(spark, sf), COLS))
+    n = C.noise_stats(labels(spark, sf))
     return n.select(F.col("noise_points").cast("long").alias("noise_points"), r6("noise_ratio").alias("noise_ratio"),
                     F.col("n_clusters").cast("long").alias("n_clusters"))
 
@@ -89,8 +95,8 @@ pts AS (SELECT pid, cluster,
    (x2 - (SELECT avg(x2) FROM pts0)) / coalesce(nullif((SELECT stddev_pop(x2) FROM pts0), 0), 1.0) AS x2 FROM pts0)"""
 
 _DB = f"""pairs AS (SELECT a.pid AS a, b.pid AS b FROM pts a JOIN pts b
-            ON (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) <= {K.DBSCAN_EPS ** 2!r}),
-core AS (SELECT a AS node FROM pairs GROUP BY a HAVING count(*) >= {K.DBSCAN_MIN_SAMPLES}),
+            ON (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) <= {EPS ** 2!r}),
+core AS (SELECT a AS node FROM pairs GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
 cedges AS (SELECT a AS src, b AS dst FROM pairs WHERE a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)),
 {_CC.replace('{E}', 'cedges').replace('{N}', 'core')},
 cid AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM labels)),

@@ -22,6 +22,7 @@ from agora.operators import weights as W
 from agora.plans import quality_plans as QP
 from agora.plans import sql_views as V
 from agora.plans import text_plans as TP
+from agora.plans import cluster_plans as CP
 from agora.plans.cluster_plans import COLS, _std
 from agora.plans.common import R, r6, with_ctes
 from agora.session import cut_lineage, ensure_checkpoint_dir
@@ -58,12 +59,13 @@ def q_gmm_fit(spark, sf):
 
 def q_dbscan_objective(spark, sf):
     pts = _std(spark, sf)
-    lab = C.dbscan(pts, COLS)
+    lab = C.dbscan(pts, COLS, CP.EPS, CP.MIN_SAMPLES)
     ns = C.noise_stats(lab).first()
     sil = C.silhouette_squared(pts.drop("cluster").join(lab, "pid"), COLS).agg(F.avg("silhouette")).first()[0]
     obj = C.objective(ns["n_clusters"], ns["noise_ratio"], sil)
     return spark.createDataFrame([(int(ns["n_clusters"]), float(ns["noise_ratio"]), sil, float(obj))],
-                                 "n_clusters long, noise_ratio double, silhouette_sq double, objective double")
+                                 "n_clusters long, noise_ratio double, silhouette_sq double, objective double").select(
+        "n_clusters", *[r6(c).alias(c) for c in ("noise_ratio", "silhouette_sq", "objective")])
 
 
 def _dump_tables(spark, sf):
@@ -237,6 +239,15 @@ _INGEST = with_ctes(V.DISCUSSIONS, V.COMMENTS, D.taxonomy_cte("tx"), D.taxonomy_
           ON discussion_id = id""")
 
 ORACLE: dict[str, str] = {
+    "dbscan_objective": with_ctes(CP._PTS, CP._DB, """q AS (SELECT p.pid, db.cluster, x0, x1, x2 FROM pts p JOIN db USING (pid) WHERE db.cluster <> -1),
+        d AS (SELECT a.pid, a.cluster AS ca, b.cluster AS cb, avg((a.x0 - b.x0) ^ 2 + (a.x1 - b.x1) ^ 2 + (a.x2 - b.x2) ^ 2) AS md, count(*) AS nb
+              FROM q a JOIN q b ON true GROUP BY a.pid, a.cluster, b.cluster),
+        s AS (SELECT pid, max(CASE WHEN ca = cb THEN md * nb / nullif(nb - 1, 0) END) AS a, min(CASE WHEN ca <> cb THEN md END) AS b,
+                     max(CASE WHEN ca = cb THEN nb END) AS n_own FROM d GROUP BY pid),
+        m AS (SELECT (SELECT count(DISTINCT cluster) FROM q) AS n_clusters, (SELECT count(*) FILTER (cluster = -1) / count(*) FROM db) AS noise_ratio,
+                     (SELECT avg(CASE WHEN n_own > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END) FROM s) AS silhouette_sq)""", recursive=True, body=f"""
+        SELECT n_clusters, {R("noise_ratio")} AS noise_ratio, {R("silhouette_sq")} AS silhouette_sq,
+               {R("CASE WHEN n_clusters < 2 OR noise_ratio > 0.5 THEN 10.0 ELSE -coalesce(silhouette_sq, -1.0) + 2.0 * noise_ratio END")} AS objective FROM m"""),
     "metric_comparison": "WITH h AS (SELECT event_type, event_id % 2 = 1 AS late, " + ", ".join(f"CAST({x} AS DOUBLE) AS {m}" for m, x in _FIGURES.items())
     + " FROM events GROUP BY ALL), l AS (" + " UNION ALL ".join(f"SELECT event_type, late, '{m}' AS metric, {m} AS v FROM h" for m in _FIGURES)
     + f"""), p AS (SELECT event_type, metric, max(v) FILTER (NOT late) AS initial, max(v) FILTER (late) AS final FROM l GROUP BY ALL)
