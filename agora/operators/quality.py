@@ -1,12 +1,12 @@
 """Argument-quality labels and scores.
 
-Label inference is a pluggable batch function run with ``mapInPandas``
-(Arrow batches); everything after it is column arithmetic and joins.
+Label inference is a pluggable batch function (Arrow batches of texts);
+everything after it is column arithmetic and joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from agora.functions import constants as K
 from agora.functions.lookups import expertise_rank
 from agora.operators import summary as Su
+from agora.session import cut_lineage
 
 
 def argmax_first(arr) -> Column:
@@ -52,21 +53,19 @@ def weighted_score(task_weights=K.QUALITY_TASK_WEIGHTS, lo: float | None = None,
 
 def infer_labels(df: DataFrame, text_col: str, scorer: Callable[[pd.Series], pd.DataFrame],
                  tasks: list[str]) -> DataFrame:
-    """Q1 hook: ``scorer(texts) -> DataFrame of per-task 4-logit lists``;
-    rows with null text are dropped first (S12); labels are the arg-max."""
-    schema = df.schema
-    from pyspark.sql.types import LongType, StructField, StructType
+    """Q1 hook: ``scorer(texts) -> DataFrame of per-task logit lists``; rows
+    with null text are dropped first (S12); labels are the arg-max.
 
-    out_schema = StructType(list(schema.fields) + [StructField(f"{t}_ad", LongType()) for t in tasks])
+    Only the text goes to Python and only the logits come back, in Arrow
+    batches; the arg-max is a column expression."""
+    kind = "struct<" + ",".join(f"`{t}`:array<double>" for t in tasks) + ">"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            logits = scorer(pdf[text_col])
-            for t in tasks:
-                pdf[f"{t}_ad"] = np.asarray(logits[t].tolist()).reshape(len(pdf), -1).argmax(axis=1) if len(pdf) else np.zeros(0, "int64")
-            yield pdf
+    @F.pandas_udf(kind)
+    def logits(texts: pd.Series) -> pd.DataFrame:
+        return scorer(texts)[tasks]
 
-    return df.where(F.col(text_col).isNotNull()).mapInPandas(run, out_schema)
+    scored = df.where(F.col(text_col).isNotNull()).withColumn("__logits", logits(F.col(text_col)))
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns], *[argmax_first(F.col("__logits")[t]).alias(f"{t}_ad") for t in tasks])
 
 
 def deterministic_scorer(tasks: list[str]) -> Callable[[pd.Series], pd.DataFrame]:
@@ -82,17 +81,18 @@ def deterministic_scorer(tasks: list[str]) -> Callable[[pd.Series], pd.DataFrame
 
 
 def translate_column(df: DataFrame, text_col: str, out_col: str, translator: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Q8 hook: row-wise translation into a new column, in Arrow batches."""
-    from pyspark.sql.types import StringType, StructField, StructType
+    """Q8 hook: translation of whole texts into a new column, in Arrow batches
+    of the text alone; a null text has a null translation."""
 
-    out_schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
+    @F.pandas_udf("string")
+    def translated(texts: pd.Series) -> pd.Series:
+        known = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        if known.any():
+            out[known] = translator(texts[known])
+        return out
 
-    def run(batches):
-        for pdf in batches:
-            pdf[out_col] = translator(pdf[text_col])
-            yield pdf
-
-    return df.mapInPandas(run, out_schema)
+    return df.withColumn(out_col, translated(F.col(text_col)))
 
 
 # ------------------------------------------------------------------ Q10
@@ -108,6 +108,7 @@ def feature_merge(scored: DataFrame, kl_rows: DataFrame, ranking: DataFrame, out
     m = m.join(pr, m.user.eqNullSafe(pr._u), "left").drop("_u")
     m = m.fillna(0.0, subset=["kl_divergence", "influence_score"])
     m = m.withColumn("expertise_ordinal", expertise_rank(F.col("expertise")).cast("double"))
+    m = cut_lineage(m)  # read twice: for the quartiles and for the result
     m = Su.iqr_outliers(m, outliers_field)
     return m.where(~F.col("outlier"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,38 +9,27 @@ from agora.functions.lookups import expertise_rank
 from agora.session import cut_lineage
 
 
-def node_levels(adjacency: DataFrame, key: str, node: str, parent: str,
-                checkpoint_every: int = 8) -> DataFrame:
+def node_levels(adjacency: DataFrame, key: str, node: str, parent: str) -> DataFrame:
     """Level of every node of a reply forest: top-level comments (null
     parent) are level 1, a reply is its parent's level + 1.
 
-    Breadth-first by rounds: each round joins only the current frontier to
-    the children index (partitioned by (key, parent)), so the work per round
-    is proportional to the frontier, and the number of rounds is the depth.
-    """
-    children = adjacency.select(F.col(key).alias("_k"), F.col(parent).alias("_p"), F.col(node).alias("_n")).where(
-        F.col("_p").isNotNull()
-    )
-    children = children.repartition("_k", "_p").persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = adjacency.where(F.col(parent).isNull()).select(
-        F.col(key).alias("_k"), F.col(node).alias("_n"), F.lit(1).alias("level"))
-    levels = [frontier]
-    acc = frontier
-    for depth in itertools.count(2):  # until no reply is left
-        nxt = (
-            frontier.select("_k", F.col("_n").alias("_p"))
-            .join(children, ["_k", "_p"])
-            .select("_k", "_n", F.lit(depth).alias("level"))
-        )
-        nxt = cut_lineage(nxt) if depth % checkpoint_every == 0 else nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        frontier = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out.select(F.col("_k").alias(key), F.col("_n").alias(node), "level")
+    Pointer doubling: every node knows an ancestor and how far up it is; a
+    round replaces the ancestor by the ancestor's own, so the number of rounds
+    is the logarithm of the depth.  Nodes whose chain ends at a missing parent
+    have no level; nor have nodes of a cycle, which are those still open when
+    the distance passes the number of nodes."""
+    top = F.col(parent).isNull()
+    now = cut_lineage(adjacency.select(
+        F.col(key).alias("_k"), F.col(node).alias("_n"), F.col(parent).alias("_up"),
+        F.when(top, 0).otherwise(1).cast("long").alias("_far")).distinct())
+    total, far = now.count(), 1
+    while far <= total and not now.where(F.col("_up").isNotNull()).isEmpty():
+        above = now.select("_k", F.col("_n").alias("_up"), F.col("_up").alias("_next"), F.col("_far").alias("_more"))
+        moved = now.where(F.col("_up").isNotNull()).join(above, ["_k", "_up"]).select(
+            "_k", "_n", F.col("_next").alias("_up"), (F.col("_far") + F.col("_more")).alias("_far"))
+        now = cut_lineage(now.where(F.col("_up").isNull()).unionByName(moved))
+        far *= 2
+    return now.where(F.col("_up").isNull()).select(F.col("_k").alias(key), F.col("_n").alias(node), (F.col("_far") + 1).cast("int").alias("level"))
 
 
 def thread_depth(discussion_ids: DataFrame, id_col: str, levels: DataFrame, key: str) -> DataFrame:

@@ -110,6 +110,13 @@ def q_infer_hook(spark, sf):
     return lab.select("doc_id", r6(Q.weighted_score()).alias("score"))
 
 
+def q_translate_hook(spark, sf):
+    """Q8 with a stand-in translator that knows one word."""
+    docs = S.text_table(spark, sf, "documents", "doc_id", "text")
+    out = Q.translate_column(docs, "text", "text_de", lambda texts: texts.str.replace("the ", "die ", regex=False))
+    return out.select("doc_id", F.md5("text_de").alias("digest"), F.length("text_de").cast("long").alias("n_chars"))
+
+
 N_TRIALS = 20
 GATE = 0.5
 
@@ -218,6 +225,7 @@ QUERIES = {
     "json_split": q_json_split,
     "json_comments": q_json_comments,
     "infer_hook": q_infer_hook,
+    "translate_hook": q_translate_hook,
 }
 _CID = """(CAST(k2 AS VARCHAR) || '-' || CAST(k3 AS VARCHAR) || '-' || CAST(k4 AS VARCHAR) || '-' || CAST(k5 AS VARCHAR))"""
 
@@ -265,6 +273,7 @@ ORACLE: dict[str, str] = {
                'see  URL  now' AS content FROM comments"""),
     "json_ingest": _INGEST,
     "json_split": _INGEST,
+    "translate_hook": """SELECT doc_id, md5(replace(text, 'the ', 'die ')) AS digest, length(replace(text, 'the ', 'die ')) AS n_chars FROM documents WHERE text IS NOT NULL""",
     "infer_hook": f"""
         SELECT doc_id, {R("(" + " + ".join(f"{w!r} * {_label_sql(k)}" for k, (_, w) in enumerate(K.QUALITY_TASK_WEIGHTS))
                           + f" - {K.QUALITY_SCORE_MIN!r}) / {K.QUALITY_SCORE_MAX - K.QUALITY_SCORE_MIN!r} * {_BOUND!r}")} AS score
