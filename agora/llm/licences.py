@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm.common import freeze
-from agora.llm.licence_texts import EQUIVALENT, KNOWN_TEXTS
+from agora.llm.licence_texts import EQUIVALENT, KNOWN_DIGESTS, KNOWN_TEXTS
 
 BROADCAST_ROWS = 200_000  # digests of 32 bytes and a name: some 20 MB
 
@@ -55,8 +55,12 @@ def canonical_digest(text: str | None) -> bytes | None:
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``digest, licence`` of known texts (by default the built-in ones)."""
-    rows = sorted({(canonical_digest(t), name) for name, t in (texts or KNOWN_TEXTS)} - {(None, None)}, key=str)
+    """``digest, licence`` of known texts (by default the built-in ones and
+    the built-in digests of longer texts)."""
+    pairs = {(canonical_digest(t), name) for name, t in (texts or KNOWN_TEXTS)}
+    if texts is None:
+        pairs |= {(bytes.fromhex(d), name) for name, d in KNOWN_DIGESTS.items()}
+    rows = sorted(pairs, key=str)
     return spark.createDataFrame([(bytearray(d), n) for d, n in rows if d], "digest binary, licence string")
 
 

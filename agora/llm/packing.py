@@ -20,6 +20,7 @@ no rows.  Only the key and text columns are read.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -46,11 +47,30 @@ _PIECE = re.compile(
 )
 
 
+#: The rules of a vocabulary file that the two patterns stand for.
+_RULES = (
+    ["NFC", "Replace", "Lowercase"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "</w>",
+)
+
+
+def _rules(tokenizer) -> tuple | None:
+    """The same of a tokenizer, None if it has no such parts."""
+    spec = json.loads(tokenizer.to_str())
+    try:
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        return steps, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], spec["model"]["end_of_word_suffix"]
+    except (KeyError, TypeError, IndexError):
+        return None
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     Text pieces repeat, so the ids of a piece are looked up; unknown pieces of
-    a batch are encoded together.  The table is emptied when it holds
+    a batch are encoded together.  A vocabulary with other rules than
+    ``_RULES`` is given every text whole.  The table is emptied when it holds
     ``remember`` pieces, which bounds memory and changes no result.
     """
 
@@ -61,6 +81,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.by_pieces = _rules(self.tokenizer) == _RULES
         self.remember = remember
         self.known: dict[str, bytes] = {}
 
@@ -87,7 +108,7 @@ class Encoder:
         split: list[list[str] | None] = []
         for t in texts:
             t = t or ""
-            plain = "<|" not in t and _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t)
+            plain = self.by_pieces and "<|" not in t and _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t)
             split.append(_PIECE.findall(t.lower()) if plain else None)
         out: list[bytes] = []
         for t, pieces in zip(texts, split):

@@ -12,7 +12,8 @@ two texts have in common; it is 1 for fingerprints that are equal.
 Defined results: null and empty texts are one empty text (no bins filled); a
 text shorter than a span is one span; ties and repeated rows are ordered by
 text; a null id comes after all others; an empty table gives no rows; a
-single row is its own successor.  Only the named columns are read.
+single row is its own successor; ids that are no whole numbers are ordered by
+their rank among the distinct ids.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.common import mix
+from agora.operators.ranking import global_row_number
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003_919, 1_766_418_311)
@@ -145,7 +147,12 @@ def with_successor(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     lowest = -(1 << 63)
-    src = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("at"))
+    src = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if src.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        src = src.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)))
+    else:
+        ranks = global_row_number(src.where("doc_id is not null").select(F.col("doc_id").alias("ranked")).distinct(), [F.col("ranked")], "rank")
+        src = src.join(ranks, F.col("doc_id") == F.col("ranked"), "left").select("doc_id", "text", F.coalesce(F.col("rank").cast("long"), F.lit(lowest)).alias("at"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = [i / (4 * width) for i in range(1, 4 * width)]
     ids = src.select("at")

@@ -47,3 +47,19 @@ def test_own_table_and_ties(spark):
     got = scan_licences(documents(spark, [(1, "some text", "en", "s", 1)]), known).first()
     assert got.text_licence == "A,B" and got.notices == "A,B"
     assert scan_licences(spark.createDataFrame([], SCHEMA), known).count() == 0
+
+
+def test_digests_of_long_texts(spark):
+    import os
+
+    import pytest
+
+    from agora.llm.licence_texts import KNOWN_DIGESTS
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts on this machine")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, "# " + open(f"{folder}/{f}").read().upper().replace("\n", "\n# "), "en", "s", 1) for i, f in enumerate(files) if os.path.exists(f"{folder}/{f}")]
+    got = {r.doc_id: r.text_licence for r in scan_licences(documents(spark, rows)).collect()}
+    assert got == {i: name for i, (f, name) in enumerate(files.items())} and set(files.values()) <= set(KNOWN_DIGESTS)

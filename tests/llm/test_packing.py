@@ -9,8 +9,10 @@ from agora.llm.packing_queries import vocabulary_path
 from tests.llm.cases import SCHEMA, awkward, clashing, documents
 
 
-def test_encoder_equals_tokenizer():
-    enc = Encoder(vocabulary_path(), remember=50)
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_tokenizer(name):
+    enc = Encoder(vocabulary_path().replace("word_bpe_49k.json", name), remember=50)
+    assert enc.by_pieces == (name == "word_bpe_49k.json")
     texts = [r[1] for r in awkward()] + [
         "it's we'LL ²x!!'s a'sb 'S '' don't", "ΑΣ İ ŉ ǅ ß ﬁ \xa0 a\x85b\x1c", "<|endoftext|> <|x", "\t\x0b\x0c", "é", "x" * 5000,
     ]
