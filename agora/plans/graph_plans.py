@@ -12,7 +12,7 @@ from agora.plans import sql_views as V
 from agora.plans.common import R, r6, with_ctes
 from agora.sources import tables as S
 
-TOP_N = 15
+TOP_N = 60
 GRAPH_CTES = [V.DISCUSSIONS, V.COMMENTS, V.DISCUSSIONS_WC, V.INTERACTIONS, V.EDGES,
               V.AUTHOR_NODES, V.COMMENTER_NODES, V.GRAPH_NODES]
 
