@@ -74,7 +74,7 @@ def q_lemma_table(spark, sf) -> DataFrame:
 def q_min_tokens(spark, sf) -> DataFrame:
     """Tuning tokens of documents with at least 5 tokens."""
     d = _docs(spark, sf).select("doc_id", T.tuning_tokens("text").alias("t"))
-    return d.where(F.size("t") >= 5).select("doc_id", *_tok_out(F.col("t")))
+    return T.once(d, "t").where(F.size("t") >= 5).select("doc_id", *_tok_out(F.col("t")))
 
 
 def _discussion_texts(spark, sf):
