@@ -25,7 +25,7 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None, text_col
         found = quoted_records(spark, path)
         header = found.groupBy("file").agg(F.min("at").alias("top"))
         record = F.regexp_replace("record", "\r$", "")
-        rows = found.join(header, "file").where((F.col("at") > F.col("top")) & (F.trim("record") != "")).select(F.from_csv(record, schema, {"sep": "\t", "escape": '"'}).alias("r"))
+        rows = found.join(F.broadcast(header), "file").where((F.col("at") > F.col("top")) & (F.trim("record") != "")).select(F.from_csv(record, schema, {"sep": "\t", "escape": '"'}).alias("r"))
         df = rows.select("r.*")
     else:
         df = spark.read.option("sep", "\t").option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", True).csv(path)
