@@ -33,3 +33,10 @@ def test_records_of_one_line_are_not_gathered(spark, tmp_path):
     assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r.record for r in found.orderBy("at").collect()] == ["id\ttext", "1\ta", '2\t"b\nc"', '3\t"q"""', '4\t"d\n\ne"', "5\tz"]
 
+
+
+def test_topic_format_shuffles_once(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["topic_format"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
