@@ -64,3 +64,22 @@ def test_corpus_tuning_keeps_the_best(spark, monkeypatch):
     # a topic that no word of this small vocabulary went to names empty slots only and has no row
     assert 1 <= flat.where(F.col("topic_id").isNotNull()).count() <= 3
     assert flat.where(F.col("topic_id").isNull()).select("discussion", "param_k").collect() == [("Discussion Mode", 3)]
+
+
+def test_models_compute_tokens_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        n.add(1)
+        return text.split()
+
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i + k) % 7}" for k in range(12))) for i in range(12)], "doc_id long, text string")
+    docs = texts.select("doc_id", split("text").alias("toks"))
+    cv, model, bow = M.fit_lda(docs, "toks", k=2, max_iter=3)
+    assert M.topic_terms(cv, model, bow, 2).count() > 0 and M.doc_topics(model, bow).count() == 12 and n.value == 12
+    best = M.tune_lda(spark, docs, "toks", 1, score_fn=lambda model, cv, bow: 1.0)
+    assert M.flatten_tuning(spark, best[0], *best[2:], n_terms=3).count() > 1 and n.value == 24
+    # distinct terms are hashed: the filter on slots is not pushed below the counts
+    plan = M.slot_terms(cv, bow, [1, 2])._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" in plan and "UDF" not in plan[plan.rindex("Aggregate"):]
