@@ -24,6 +24,19 @@ def test_table_in_memory_and_joined(spark):
         assert sorted(((r.id, r.lemmas) for r in got.collect()), key=repr) == want
 
 
+def test_large_table_shuffles_rare_tokens_only(spark, monkeypatch):
+    import agora.operators.lemmas as L
+
+    docs = spark.createDataFrame([(i, ["common", "often", f"word{i}", f"none{i}"]) for i in range(40)], "id long, t array<string>")
+    table = spark.createDataFrame([("common", "c"), *[(f"word{i}", f"w{i}") for i in range(40)]], "token string, lemma string")
+    held, frequent = [], L._frequent
+    monkeypatch.setattr(L, "_frequent", lambda *a: held.append(frequent(*a)) or held[-1])
+    got = lemmatize_by_table(docs, "id", "t", table, most_bytes=30)
+    assert {r.id: r.lemmas for r in got.collect()} == {i: ["c", "often", f"w{i}", f"none{i}"] for i in range(40)}
+    # tokens of many documents, known or not, are looked up where they stand
+    assert held == [({"common": "c", "often": None}, 5)]
+
+
 def test_keyword_under_two_domains(spark):
     taxonomy = {"A": ["Tree", "two words"], "B": ["tree", "tree", "leaf"], "C": ["none"]}
     df = spark.createDataFrame([("a tree", "and a leaf"), ("two words", None), ("TREE", "tree")], "title string, content string")
