@@ -1,6 +1,7 @@
 """Paths that no registered query takes: PageRank without convergence, the
 weight threshold, the filtered export, corpus-level tuning."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,42 @@ def test_models_compute_tokens_once(spark):
     # distinct terms are hashed: the filter on slots is not pushed below the counts
     plan = M.slot_terms(cv, bow, [1, 2])._jdf.queryExecution().optimizedPlan().toString()
     assert "UDF" in plan and "UDF" not in plan[plan.rindex("Aggregate"):]
+
+
+def test_corpus_model_reads_every_document_each_pass(spark):
+    """Two themes come apart, each pass has all documents, and partitions do not matter."""
+    from agora.operators import online_lda as OL
+
+    rows = [(i, [f"{'ab'[i % 2]}{(i + k) % 9}" for k in range(30)]) for i in range(40)] + [(40, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, toks array<string>")
+    mixes = []
+    for n in (1, 5):
+        cv, model, bow = M.fit_lda(docs.repartition(n), "toks", k=2, max_iter=30, learning_offset=1.0, width=64)
+        sizes = [len(r.sizes) // 4 for r in OL.packed(bow, "_bow").collect()]
+        assert isinstance(model, OL.OnlineLda) and sum(sizes) == 41 and (model.alpha > 0).all() and len(set(model.alpha)) == 2
+        # no word is lost or counted twice: at rate 1 the weights would hold the prior and all tokens
+        one = OL.fit(OL.packed(bow, "_bow"), "_bow", 64, 2, 1, 0.0, 1.0, [0.5, 0.5], 42)
+        assert abs(one.weights.sum() - (64 * 2 * 0.5 + 40 * 30)) < 1e-6
+        mixes.append({r.doc_id: r.topic_dist for r in M.doc_topics(model, bow).collect()})
+    tops = [{max((0, 1), key=lambda j: m[i][j]) for i in range(p, 40, 2)} for m in mixes for p in (0, 1)]
+    assert all(len(t) == 1 for t in tops) and tops[0] != tops[1] and mixes[0][40] == [0.0, 0.0]
+    assert all(abs(a - b) < 1e-6 for i in range(40) for a, b in zip(mixes[0][i], mixes[1][i]))
+
+
+def test_leaps_end_where_plain_steps_end():
+    from agora.operators import discussion_models as DM
+    from agora.operators import online_lda as OL
+
+    draw = np.random.RandomState(3)
+    counts, beta, alpha = draw.poisson(2.0, (30, 60)).astype(float), draw.gamma(100.0, 0.01, (30, 4, 60)), np.full(4, 0.25)
+    start, rounds = draw.gamma(100.0, 0.01, (30, 4)), []
+    plain, _ = DM._document_step(counts, beta, alpha, start.copy(), DM.TopicSetup(iterations=10**6), found=False)
+    theta = OL._theta
+    try:
+        OL._theta = lambda g: rounds.append(len(g)) or theta(g)
+        fast = OL._converged(counts, beta, alpha, start, 1e-3)
+    finally:
+        OL._theta = theta
+    # each document's last plain step was that short for both; the leaps come closer to the end of a slow one
+    assert np.abs(fast - plain).max() < 0.05 * counts.sum(axis=1).min() and np.allclose(fast.sum(axis=1), counts.sum(axis=1) + 1.0)
+    assert sum(rounds) < 30 * 400
