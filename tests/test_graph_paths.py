@@ -123,3 +123,14 @@ def test_leaps_end_where_plain_steps_end():
     # each document's last plain step was that short for both; the leaps come closer to the end of a slow one
     assert np.abs(fast - plain).max() < 0.05 * counts.sum(axis=1).min() and np.allclose(fast.sum(axis=1), counts.sum(axis=1) + 1.0)
     assert sum(rounds) < 30 * 400
+
+
+def test_passes_leave_no_shuffles(spark, monkeypatch):
+    """The sums of a pass are let go before the next one."""
+    from agora.operators import online_lda as OL
+
+    dropped = []
+    drop = OL.drop_shuffles
+    monkeypatch.setattr(OL, "drop_shuffles", lambda s: dropped.append(1) or drop(s))
+    M.fit_lda(spark.createDataFrame([(i, ["a", "b", f"c{i}"]) for i in range(9)], "doc_id long, toks array<string>"), "toks", k=2, max_iter=4, width=32)
+    assert len(dropped) == 4
